@@ -77,7 +77,8 @@ class Merges:
             # A pair that has changed since it was pushed no longer has this rank.
             if symbols[i] < 0 or j >= n or rank(symbols[i] << 32 | symbols[j]) != top >> 32:
                 continue
-            symbols[i], symbols[j] = new, _ = made[top >> 32], -1
+            new = made[top >> 32]
+            symbols[i], symbols[j] = new, -1
             left -= 1
             after[i] = k = after[j]
             if k < n:
