@@ -14,7 +14,7 @@ import numpy as np
 #: Fixed values of the mixing function (splitmix64).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,6 +81,41 @@ def word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def batch_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of many texts, one after the other, and each text's word count.
+    Short texts are joined, so that numpy works on buffers of PIECE bytes."""
+    out, counts = [], np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    size = first = 0
+
+    def flush(upto: int) -> None:
+        nonlocal held, size, first
+        if held:
+            buf = np.frombuffer(b" ".join(held), np.uint8)
+            buf = _LOWER[buf] if lower else buf
+            s, e = spans(buf)
+            out.append(hashes(buf, s, e))
+            ends = np.cumsum([len(x) + 1 for x in held])
+            counts[first:upto] = np.diff(np.searchsorted(s, ends), prepend=0)
+        held, size, first = [], 0, upto
+
+    for i, t in enumerate(texts):
+        data = (t or "").encode("utf-8", "surrogatepass")
+        if len(data) > PIECE:
+            flush(i)
+            own = word_hashes(data, lower)
+            out.append(own)
+            counts[i] = len(own)
+            first = i + 1
+            continue
+        held.append(data)
+        size += len(data)
+        if size > PIECE:
+            flush(i + 1)
+    flush(len(texts))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+
+
 def chained(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n consecutive words."""
     count = len(words) - n + 1
