@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import compression_quality, mixing, quality_rules, token_counts, url_filter
+from . import compression_quality, decontamination, language_model, mixing, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES = {
+    "op2_surrogates": surrogates.op2_surrogates,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_language_model": language_model.op6_language_model,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_compression_quality": compression_quality.op8_compression_quality,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -13,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_decontamination": decontamination.OP3_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
