@@ -149,17 +149,16 @@ def fold():
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with a column score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != text]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: two dictionaries
+    names, at = [*docs.columns, "score"], docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _compressors(shared.value) if shared.value["good"] else []
         for batch in batches:
-            values = [score_text(t.as_py(), shared.value, both) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*keep, "score"])
+            values = [score_text(t.as_py(), shared.value, both) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=names)
 
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,12 +80,17 @@ def matches(postings: DataFrame, keys: DataFrame, slop: int | None = None) -> Da
     return p.join(k, same & fits).select("doc_id", "h", start.alias("start"), F.size("w").alias("n"), "w", "item_ids")
 
 
+def found_in(corpus: DataFrame, items: DataFrame) -> DataFrame:
+    """All exact matches of the items' windows in corpus (doc_id, text)."""
+    wins = store(windows(items), "leak-windows")
+    keys = store(keyed(corpus, wins), "leak-keys")
+    return matches(store(index(corpus, keys), "leak-index"), keys)
+
+
 def report(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     corpus = corpus.select("doc_id", "text")
-    wins = store(windows(items), "leak-windows")
-    keys = store(keyed(corpus, wins), "leak-keys")
-    found = matches(store(index(corpus, keys), "leak-index"), keys)
+    found = found_in(corpus, items)
     # The spans of one document, merged in order of their starts.
     merged = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "n"))), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
                          lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["n"]).alias("end"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontamination, language_model, mixing, quality_rules, surrogates, token_counts, url_filter
+from . import compression_quality, decontamination, html_extraction, language_model, mixing, near_dedup, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_surrogates": surrogates.op2_surrogates,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_html_extraction": html_extraction.op5_html_extraction,
     "op6_language_model": language_model.op6_language_model,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_compression_quality": compression_quality.op8_compression_quality,
