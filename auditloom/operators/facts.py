@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import manifests, pyfacts, taint
+from ..functions import cfg, manifests, pyfacts, taint
 from ..functions.text import MARKER, lines, package_name, strip, suppressed
 
 _STEP = "struct<step_type:string,message:string,start_line:int,end_line:int,start_col:int,end_col:int,snippet:string>"
@@ -72,6 +72,23 @@ def import_inventory(sources: DataFrame) -> DataFrame:
     return sources.select("path", "text").filter(kind(F.col("path")) == "python").mapInPandas(run, "path string, imports array<string>")
 
 
+def control_flow(sources: DataFrame) -> DataFrame:
+    """path, function, node, kind, line, human_gate, place (in reverse postorder, null if
+    control never gets there), successors of every statement."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for p, t in zip(frame["path"], frame["text"]):
+                for name, g in cfg.graphs(ast.parse(t)):
+                    place = {n: i for i, n in enumerate(g.order())}
+                    rows += [(p, name, n, k, line, gate, place.get(n), sorted(b for a, b in g.edges if a == n)) for n, k, line, gate in g.nodes]
+            yield pd.DataFrame(rows, columns=["path", "function", "node", "kind", "line", "human_gate", "place", "successors"]).astype({"place": "Int32"})
+
+    only = sources.select("path", "text").filter(kind(F.col("path")) == "python")
+    return only.mapInPandas(run, "path string, function string, node int, kind string, line int, human_gate boolean, place int, successors array<int>")
+
+
 def line_table(sources: DataFrame) -> DataFrame:
     """path, line (from 1), text of every line."""
     return sources.select("path", F.posexplode(lines(F.col("text"))).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")

@@ -206,6 +206,14 @@ def import_inventory(spark, sf_dir):
     return ft.import_inventory(corpus.sources(spark, sf_dir)).select("path", F.array_join("imports", ",").alias("imports"))
 
 
+@query("SELECT 'p' || doc_id || '/branches.py' AS path, a::INTEGER AS line, b::INTEGER AS next_line FROM documents JOIN (VALUES (0, 5), (5, 6), (6, 7), (6, 8), (7, 8), (8, 9), (9, 10), (10, 0)) t(a, b) ON doc_id % 19 = 9")
+def cfg_edges(spark, sf_dir):
+    """Edges of a function with a branch, by lines; 0 stands for entry and exit."""
+    n = ft.control_flow(corpus.sources(spark, sf_dir)).filter("path LIKE '%/branches.py' AND function = 'f'")
+    e = n.select("path", "line", F.explode("successors").alias("to"))
+    return e.join(n.select("path", F.col("node").alias("to"), F.col("line").alias("next_line")), ["path", "to"]).select("path", "line", "next_line")
+
+
 def _engine(build, *rules: str):
     def run(spark, sf_dir):
         src = corpus.sources(spark, sf_dir)
