@@ -75,7 +75,7 @@ def glob_regex(glob: str) -> str:
             out.append(f"[^{body[1:]}]" if body.startswith("!") else f"[{body}]")
         else:
             out.append(re.escape(c))
-    return rf"(?s)\A(?:{''.join(out)})\z"
+    return rf"(?s)\A(?:{''.join(out)})(?![\s\S])"  # an end that Java and Python both know
 
 
 def excluded(path: Column, globs: list[str]) -> Column:
@@ -92,7 +92,7 @@ def json_string(value: Column) -> Column:
 
     def one(c: Column) -> Column:
         units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-        out = F.when(c.rlike(r"\A[\x20-\x7E]\z"), c).otherwise(F.regexp_replace(units, "(.{4})", r"\\\\u$1"))
+        out = F.when(c.rlike(r"\A[\x20-\x7E]\z"), c).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
         for k, v in named.items():
             out = F.when(c == k, F.lit(v)).otherwise(out)
         return out
