@@ -147,10 +147,10 @@ def fold():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with a column score."""
+def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column for the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: two dictionaries
-    names, at = [*docs.columns, "score"], docs.columns.index(text)
+    names, at = [*docs.columns, out], docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _compressors(shared.value) if shared.value["good"] else []
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             values = [score_text(t.as_py(), shared.value, both) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

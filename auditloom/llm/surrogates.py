@@ -158,28 +158,27 @@ def render(mention: Column, kind: Column, fake: Column) -> Column:
     return {"title": title, "body": body, "new": new, "written": written}
 
 
-def replace(docs: DataFrame, key: str = "auditloom", text: str = "text") -> DataFrame:
-    """docs with `text` rewritten and n_entities (mentions replaced)."""
+def replace(docs: DataFrame, key: str = "auditloom", text: str = "text", counted: str = "n_entities") -> DataFrame:
+    """docs with `text` rewritten, and the number of its mentions as column `counted`."""
     t = F.col(text)
-    hint = F.coalesce(t.rlike(_HINT), F.lit(False))
     # A case keeps the order: the long expression only sees texts with a hint.
-    has = F.when(hint, t.rlike(UNION)).otherwise(False)
-    row = F.xxhash64(t)
+    has = F.when(F.coalesce(t.rlike(_HINT), F.lit(False)), t.rlike(UNION)).otherwise(False)
     found = docs.filter(has).select(t.alias("t")).groupBy(F.xxhash64("t").alias("h"), F.length("t").alias("len")).agg(F.first("t").alias("t"))
     mentions = found.select("h", "len", F.posexplode(F.regexp_extract_all("t", F.lit(UNION), F.lit(0))).alias("i", "mention"))
     mentions = mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("mention"), F.col("kind")))
     mentions = store(mentions, "pii-mentions")
-    fakes = assign(mentions, key)
-    m = mentions.join(fakes, ["kind", "entity"])
+    m = mentions.join(assign(mentions, key), ["kind", "entity"])
     r = render(F.col("mention"), F.col("kind"), F.col("fake"))
     m = m.withColumn("_title", r["title"]).withColumn("_body", r["body"]).withColumn("_new", r["new"]).withColumn("new", F.concat("_title", r["written"]))
-    per = m.groupBy("h", "len").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda s: s["new"]).alias("_fakes"))
-    whole = F.array_join(F.transform(F.split(t, UNION), lambda p, i: F.concat(p, F.coalesce(F.get("_fakes", i), F.lit("")))), "")
-    keep = [F.col(c) for c in docs.columns if c != text]
-    order = [*docs.columns, "n_entities"]
-    clean = docs.filter(~has).withColumn("n_entities", F.lit(0).cast("long")).select(*order)
-    changed = docs.filter(has).withColumns({"_h": row, "_len": F.length(t)}).join(per, (F.col("_h") == F.col("h")) & (F.col("_len") == F.col("len")))
-    changed = changed.select(*keep, whole.alias(text), F.size("_fakes").cast("long").alias("n_entities")).select(*order)
+    per = m.groupBy("h", "len").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda s: s["new"]).alias("fakes")).alias("p")
+    clean = docs.filter(~has).withColumn(counted, F.lit(0).cast("long"))
+    # Names of the two sides stay apart by their aliases, whatever columns docs has.
+    d = docs.filter(has).alias("d")
+    met = d.join(per, (F.xxhash64(F.col(f"d.`{text}`")) == F.col("p.h")) & (F.length(F.col(f"d.`{text}`")) == F.col("p.len")))
+    pieces = F.split(F.col(f"d.`{text}`"), UNION)
+    whole = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("p.fakes"), i), F.lit("")))), "")
+    columns = [whole.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c != counted]
+    changed = met.select(*columns, F.size("p.fakes").cast("long").alias(counted))
     return clean.unionByName(changed)
 
 

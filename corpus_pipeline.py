@@ -23,20 +23,25 @@ def _keys(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _names(docs: DataFrame, *without: str) -> list[str]:
+    return [f"`{c}`" for c in docs.columns if c not in without]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = compression_quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return compression_quality.score(docs, model).filter("score >= 0.3").select(*docs.columns)
+    return compression_quality.score(docs, model, out="_al_score").filter("_al_score >= 0.3").select(*_names(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     keys = _keys(near_dedup.survivors(docs), "kept-rows").alias("k")
-    d = docs.withColumn("_th", F.xxhash64("text")).alias("d")
-    met = d.join(keys, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._th") == F.col("k.th"))).select("d.*", "copies")
+    d = docs.alias("d")
+    met = d.join(keys, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.th")))
+    met = met.select("d.*", F.col("k.copies").alias("_al_copies"), F.col("k.th").alias("_al_th"))
     # Repeated rows are few; only they are compared with each other.
-    again = met.filter("copies > 1").dropDuplicates(["doc_id", "_th"])
-    return met.filter("copies = 1").unionByName(again).select(*docs.columns)
+    again = met.filter("_al_copies > 1").dropDuplicates(["doc_id", "_al_th"])
+    return met.filter("_al_copies = 1").unionByName(again).select(*_names(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,28 +49,30 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     hit = decontamination.found_in(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     keys = _keys(hit.select("doc_id", "h").distinct(), "leaking-rows").alias("k")
     d = docs.alias("d")
-    return d.join(keys, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.h")), "left_anti")
+    return d.join(keys, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.h")), "left_anti").select(*_names(docs))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    out = surrogates.replace(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = surrogates.replace(docs, counted="_al_entities")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_al_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*_names(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    plan = mixing.mix(sized.select("doc_id", "source", F.col("_size").alias("size"))).filter("copies > 0 OR size = 0")
-    per = plan.groupBy("doc_id", "size", "source").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("c"), F.count("*").alias("n"))
+    sized = docs.withColumn("_al_size", word_count(F.col("text")))
+    plan = mixing.mix(sized.select("doc_id", "source", F.col("_al_size").alias("size")))
+    per = plan.groupBy("doc_id", "size", "source").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("c")).filter(F.get("c", F.lit(0)) > 0)
     per = _keys(per, "mix-plan").alias("p")
-    same = [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d._size") == F.col("p.size"), F.col("d.source").eqNullSafe(F.col("p.source"))]
-    met = sized.alias("d").join(per, same[0] & same[1] & same[2]).select("d.*", "c", "n")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._al_size") == F.col("p.size")) & F.col("d.source").eqNullSafe(F.col("p.source"))
+    met = sized.alias("d").join(per, same).select("d.*", F.col("p.c").alias("_al_c"))
     # Rows that share id, size and source take the planned copies in turn.
-    turn = F.row_number().over(W.partitionBy("doc_id", "_size", "source").orderBy(F.xxhash64("text")))
-    several = met.filter("n > 1").withColumn("copies", F.coalesce(F.get("c", turn - 1), F.lit(0).cast("long")))
-    out = met.filter("n = 1").withColumn("copies", F.get("c", F.lit(0))).unionByName(several).filter("copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    turn = F.row_number().over(W.partitionBy("doc_id", "_al_size", "source").orderBy(F.xxhash64("text")))
+    several = met.filter(F.size("_al_c") > 1).withColumn("_al_copies", F.coalesce(F.get("_al_c", turn - 1), F.lit(0).cast("long")))
+    out = met.filter(F.size("_al_c") == 1).withColumn("_al_copies", F.get("_al_c", F.lit(0))).unionByName(several).filter("_al_copies > 0")
+    return out.select(*_names(docs, "copy"), F.explode(F.sequence(F.lit(1), F.col("_al_copies").cast("int"))).alias("copy"))
 
 
 STAGES = [("quality classifier", quality), ("near-duplicates", near_dedup_stage), ("benchmark decontamination", decontaminate), ("personal data", private_data), ("mixing", mix)]
