@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import store, table, words
 
 #: metric -> (upper margin, lower margin or None): the least distance of a fence from the median.
-MARGINS = {"symbol_rate": (100, None), "dup_line_rate": (300, None), "repeat_rate": (200, None), "word_length": (300, 300)}
+MARGINS = {"symbol_rate": (100, None), "dup_line_rate": (300, None), "repeat_rate": (300, None), "word_length": (300, 300)}
 REACH = 6
 
 
@@ -116,7 +116,7 @@ h AS (SELECT lang, source, metric, cell, count(*) n FROM s GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY cell) upto, sum(n) OVER (PARTITION BY lang, source, metric) total FROM h),
 q AS (SELECT lang, source, metric, min(cell) FILTER (upto * 10 >= total) q10, min(cell) FILTER (upto * 10 >= total * 5) q50, min(cell) FILTER (upto * 10 >= total * 9) q90 FROM c GROUP BY ALL),
 f AS (SELECT lang, source, metric,
-  q50 + greatest(6 * (q90 - q50), CASE metric WHEN 'symbol_rate' THEN 100 WHEN 'dup_line_rate' THEN 300 WHEN 'repeat_rate' THEN 200 ELSE 300 END) high,
+  q50 + greatest(6 * (q90 - q50), CASE metric WHEN 'symbol_rate' THEN 100 WHEN 'dup_line_rate' THEN 300 WHEN 'repeat_rate' THEN 300 ELSE 300 END) high,
   CASE metric WHEN 'word_length' THEN q50 - greatest(6 * (q50 - q10), 300) ELSE -1 END low FROM q),
 v AS (SELECT u.rid, bool_and(u.v BETWEEN f.low AND f.high) inside FROM u JOIN f ON u.metric = f.metric AND u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source GROUP BY u.rid)
 SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols::BIGINT n_symbols, n_dup_lines::BIGINT n_dup_lines, n_repeat_words::BIGINT n_repeat_words,
