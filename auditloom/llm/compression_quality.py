@@ -69,7 +69,7 @@ def _sizes(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompres
     for i in range(0, len(view), BLOCK):
         block = view[i : i + BLOCK]
         g, b = g + len(good.compress(block)) - 5, b + len(bad.compress(block)) - 5
-    return (b - g) / max(1, b + g)
+    return (b - g) / (b + g + BLOCK)  # one more block, so that a few words alone decide little
 
 
 def _compressors(model: dict) -> list[zstandard.ZstdCompressor]:
