@@ -26,7 +26,7 @@ from .common import low, store, table, word_count, words
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Lists of terms up to this many rows are sent to the executors; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def tokens(text: Column) -> Column:

@@ -47,7 +47,7 @@ WIDTH, K, SHORT = 5, 48, 32
 #: Similarity as a fraction: linked if Q * common >= P * union.
 P, Q = 3, 4
 #: Class lists up to this length are sent to the executors to pick texts; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 300_000
 
 
 def shingle_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:

@@ -15,7 +15,7 @@ from auditloom.llm import compression_quality, decontamination, mixing, near_ded
 from auditloom.llm.common import store, table, word_count
 
 #: Key lists up to this length are sent to the executors; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 300_000
 
 
 def _keys(df: DataFrame, name: str) -> DataFrame:
