@@ -2,9 +2,10 @@
 
 Three passes over whole texts. (1) Words are hashed and counted; ranges of the hash
 space become sorted hash arrays with counts, and a word's number is its place in them.
-(2) Bigrams, as pairs of such numbers with a begin mark as first context, are counted;
-ranges of the context become sorted arrays with counts and the sums of every context.
-(3) Workers map these files into memory, look the words and bigrams of whole batches up
+(2) Bigrams, as pairs of such numbers with a begin mark as first context, are hashed one
+to one and counted; ranges of the hash space become sorted hash arrays with counts, so that
+a context with many followers is dealt over all of them. Each range's sums by context and
+by word meet in ranges of these numbers. (3) Workers map these files into memory, look the words and bigrams of whole batches up
 by binary search, and score. Every task sums its own keys before the shuffle and sends
 each range as one compressed row, so a frequent word costs a range no more than a rare
 one. Files lie in the shared folder, are written under a temporary name and moved into
@@ -67,6 +68,15 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _unmix(x: np.ndarray) -> np.ndarray:
+    """The key of which x is wordhash.mix."""
+    inverse = lambda m: np.uint64(pow(int(m), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * inverse(wordhash._M2)
+        x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * inverse(wordhash._M1)
+        return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def _pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys: the upper halves as differences, so that they compress."""
     upper = (keys >> np.uint64(32)).astype(np.uint32)
@@ -80,13 +90,14 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return upper << np.uint64(32) | both[n:].astype(np.uint64)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, with the sums of each column of counts."""
     if not len(keys):
-        return keys.astype(np.uint64), counts.astype(np.int64)
+        return (keys.astype(np.uint64), *(c.astype(np.int64) for c in counts))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
+    return (keys[first], *(np.add.reduceat(c[order].astype(np.int64), first) for c in counts))
 
 
 class _Tally:
@@ -131,18 +142,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(hs), np.concatenate(ns)
 
 
-_COUNTED = "part int, keys binary, counts binary"
+#: Sorted keys and columns of counts of one range; sums: what they belong to.
+_COUNTED = "sums string, part int, keys binary, counts array<binary>"
 
 
-def _by_range(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _by_range(sums: str, parts: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> list[tuple]:
     """One row for each range; parts: the range of each key, ascending."""
     cuts = np.flatnonzero(np.diff(parts, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
-        yield pa.RecordBatch.from_arrays([pa.array([int(parts[a])], pa.int32()), pa.array([_pack_sorted(keys[a:b])], pa.binary()), pa.array([_pack(counts[a:b].astype(np.uint32))], pa.binary())], names=names)
+    return [(sums, int(parts[a]), _pack_sorted(keys[a:b]), [_pack(c[a:b].astype(np.int64)) for c in counts]) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["sums", "part", "keys", "counts"])
 
 
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return _summed(np.concatenate([_unpack_sorted(k) for k in pdf["keys"]]), np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]]))
+def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    columns = zip(*([_unpack(c, np.int64) for c in row] for row in pdf["counts"]))
+    return _summed(np.concatenate([_unpack_sorted(k) for k in pdf["keys"]]), *(np.concatenate(c) for c in columns))
+
+
+def _hash_range(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 class Lookup:
@@ -221,14 +242,14 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     docs = docs.select(F.col(text).alias("text"))
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-letters // (PART_MB << 20)))
-    names = ["part", "keys", "counts"]
 
     def words_of(batches):
         tally = _Tally()
         for h, _ in _chunks(batches):
             tally.add(h)
         k, c = tally.total()
-        yield from _by_range(k, c, ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), names)
+        if len(k):
+            yield _batch(_by_range("vocab", _hash_range(k, parts), k, c))
 
     def vocab_range(pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf["part"].iloc[0])
@@ -248,43 +269,44 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     def bigrams_of(batches):
         vocab, tally = Lookup(folder, "vocab", sizes), _Tally()
         for h, n in _chunks(batches):
-            tally.add(_pairs(_ids(vocab, h), n, size))
+            tally.add(wordhash.mix(_pairs(_ids(vocab, h), n, size)))
         k, c = tally.total()
-        yield from _by_range(k, c, ((k >> np.uint64(32)) * np.uint64(parts) // np.uint64(size + 1)).astype(np.int64), names)
+        if len(k):
+            yield _batch(_by_range("bigram", _hash_range(k, parts), k, c))
 
     def bigram_range(pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf["part"].iloc[0])
         k, c = _merged(pdf)
-        u = k >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-        per = lambda m: np.add.reduceat(m.astype(np.int64), first).astype(np.float32)
         _save(f"{folder}/bigram-{p:05d}", {"keys": k, "counts": c.astype(np.uint32)})
-        _save(f"{folder}/context-{p:05d}", {"keys": u[first], "total": np.add.reduceat(c, first).astype(np.float64), "one": per(c == 1), "two": per(c == 2), "more": per(c >= 3)})
-        w, n = np.unique(k & np.uint64(0xFFFFFFFF), return_counts=True)
-        at = (w * np.uint64(parts) // np.uint64(max(size, 1))).astype(np.int64)
-        out = pa.Table.from_batches(list(_by_range(w, n, at, names))).to_pandas()
-        return out.assign(range=p, n=len(k), contexts=len(first), four=[_four(c)] * len(out))
-
-    spec = "part int, keys binary, counts binary, range int, n long, contexts long, four array<long>"
-    met = store(docs.mapInArrow(bigrams_of, _COUNTED).groupBy("part").applyInPandas(bigram_range, spec), "lm-bigrams")
-    pairs, contexts, four = [0] * parts, [0] * parts, np.zeros(4, np.int64)
-    for r in met.select("range", "n", "contexts", "four").distinct().collect():  # one for each range of contexts
-        pairs[r["range"]], contexts[r["range"]] = r["n"], r["contexts"]
+        pairs, one = _unmix(k), np.ones(len(k), np.int64)
+        number = lambda x: (x * np.uint64(parts) // np.uint64(size + 1)).astype(np.int64)
+        u, *sums = _summed(pairs >> np.uint64(32), c, c == 1, c == 2, c >= 3)
+        w, before = _summed(pairs & np.uint64(0xFFFFFFFF), one)
+        out = pd.DataFrame([*_by_range("context", number(u), u, *sums), *_by_range("before", number(w), w, before)], columns=["sums", "part", "keys", "counts"])
+        return out.assign(range=p, n=len(k), four=[_four(c)] * len(out))
+
+    met = store(docs.mapInArrow(bigrams_of, _COUNTED).groupBy("part").applyInPandas(bigram_range, f"{_COUNTED}, range int, n long, four array<long>"), "lm-bigrams")
+    pairs, four = [0] * parts, np.zeros(4, np.int64)
+    for r in met.select("range", "n", "four").distinct().collect():  # one for each range of bigrams
+        pairs[r["range"]] = r["n"]
         four += np.array(r["four"])
 
-    def before_range(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["part"].iloc[0])
-        w, n = _merged(pdf)
-        _save(f"{folder}/before-{p:05d}", {"keys": w, "counts": n})
-        return pd.DataFrame({"part": [p], "n": [len(w)], "more": [int((n >= 3).sum())], "four": [_four(n)]})
+    def number_range(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, kind = int(pdf["part"].iloc[0]), pdf["sums"].iloc[0]
+        k, n, *rest = _merged(pdf)
+        _save(f"{folder}/{kind}-{p:05d}", {"keys": k, "counts": n, **dict(zip(("one", "two", "more"), rest))})
+        return pd.DataFrame({"sums": [kind], "part": [p], "n": [len(k)], "more": [int((n >= 3).sum())], "four": [_four(n)]})
 
-    rows = store(met.select(*names).groupBy("part").applyInPandas(before_range, "part int, n long, more long, four array<long>"), "lm-before").collect()
-    befores, low, more = [0] * parts, np.zeros(4, np.int64), 0
+    rows = store(met.groupBy("sums", "part").applyInPandas(number_range, "sums string, part int, n long, more long, four array<long>"), "lm-sums").collect()
+    found = {"context": [0] * parts, "before": [0] * parts}
+    low, more = np.zeros(4, np.int64), 0
     for r in rows:
-        befores[r["part"]], low, more = r["n"], low + np.array(r["four"]), more + r["more"]
+        found[r["sums"]][r["part"]] = r["n"]
+        if r["sums"] == "before":
+            low, more = low + np.array(r["four"]), more + r["more"]
     d = discounts(list(low))
     held = d[0] * float(low[0]) + d[1] * float(low[1]) + d[2] * more
-    return {"folder": folder, "vocab": sizes, "bigram": pairs, "context": contexts, "before": befores, "size": size, "tokens": tokens, "pairs": sum(pairs), "d": discounts(list(four)), "d_low": d, "held": held}
+    return {"folder": folder, "vocab": sizes, "bigram": pairs, **found, "size": size, "tokens": tokens, "pairs": sum(pairs), "d": discounts(list(four)), "d_low": d, "held": held}
 
 
 class Model:
@@ -294,7 +316,7 @@ class Model:
         self.m = m
         self.vocab, self.bigram, self.context, self.before = (Lookup(m["folder"], k, m[k]) for k in ("vocab", "bigram", "context", "before"))
         self.seen, self.met, self.sources = self.vocab.column("counts"), self.bigram.column("counts"), self.before.column("counts")
-        self.sums = [self.context.column(k) for k in ("total", "one", "two", "more")]
+        self.sums = [self.context.column(k) for k in ("counts", "one", "two", "more")]
 
     def _sorted(self, number: np.ndarray) -> np.ndarray:
         """Places in `before`: numbers of known words ascend as the words do, the others are not there."""
@@ -320,7 +342,10 @@ class Model:
         uniform = 1.0 / (size + 1)
         low = (self._less(sources, m["d_low"]) + m["held"] * uniform) / m["pairs"] if m["pairs"] else np.full(len(u), uniform)
         pairs, pair_of = np.unique(_pairs(ids, n, size), return_inverse=True)
-        c = self.bigram.take(self.met, self.bigram.find(pairs))
+        mixed = wordhash.mix(pairs)
+        order = np.argsort(mixed)
+        c = np.zeros(len(pairs), np.float64)
+        c[order] = self.bigram.take(self.met, self.bigram.find(mixed[order]))
         before = pairs >> np.uint64(32)
         contexts, context_of = np.unique(before, return_inverse=True)
         place = self.context.find(contexts)
