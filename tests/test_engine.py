@@ -248,3 +248,28 @@ def test_stream_of_sources(spark, tmp_path):
     q.awaitTermination(120)
     batch = text_findings(template_sources(spark), rl.builtin())
     assert sorted(map(tuple, spark.table("watch").collect())) == sorted(map(tuple, batch.collect())) != []
+
+
+def test_command_line(spark, project, tmp_path, capsys):
+    from auditloom.__main__ import main
+
+    assert main(["scan", str(project), "--format", "sarif", "--output", str(tmp_path / "o.sarif")]) == 1
+    assert json.loads((tmp_path / "o.sarif").read_text())["runs"][0]["results"]
+    assert main(["scan", str(project), "--fail-on", "prohibited"]) == 0
+    assert main(["keygen", str(tmp_path), "cli"]) == 0 and main(["keygen", str(tmp_path), "cli"]) == 2
+    assert main(["scan", str(project), "--sign", str(tmp_path / "cli.key"), "--signer", "me", "--output", str(tmp_path / "b.json")]) == 1
+    assert main(["verify", str(tmp_path / "b.json"), str(tmp_path / "cli.pub")]) == 0
+    (tmp_path / "a.json").write_text('{"role": "provider", "is_ai": true, "eu_scope": true, "transparency": true}')
+    capsys.readouterr()
+    assert main(["assess", str(tmp_path / "a.json")]) == 0 and json.loads(capsys.readouterr().out)["risk_tier"] == "limited_risk"
+    assert main(["docgen", str(project), "--output", str(tmp_path / "d.md")]) == 0 and "Section 9" in (tmp_path / "d.md").read_text()
+    assert main(["scan", str(tmp_path / "missing")]) == 2
+
+
+def test_hard_links_can_be_refused(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    os.link(tmp_path / "a.py", tmp_path / "b.py")
+    spark.dataSource.register(SourceTree)
+    assert spark.read.format("srctree").option("path", str(tmp_path)).load().count() == 2
+    with pytest.raises(Exception, match="regular"):
+        spark.read.format("srctree").option("path", str(tmp_path)).option("singleLink", "true").load().collect()
