@@ -42,20 +42,26 @@ def low(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value evaluated once for each row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words(text: Column, blank: str = f"{BLANK}+") -> Column:
-    """Array of words. Only the first and last piece of a split can be empty."""
-    pieces = F.split(F.coalesce(text, F.lit("")), blank)
-    first = F.when(F.element_at(pieces, 1) == "", 2).otherwise(1)
-    last = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
-    return F.slice(pieces, first, F.greatest(last - first + 1, F.lit(0)))
+    """Array of words. Only the first and last piece of a split can be empty. The text is
+    split once, also where the optimizer shares no expressions (below an explode)."""
 
+    def inner(pieces: Column) -> Column:
+        first = F.when(F.element_at(pieces, 1) == "", 2).otherwise(1)
+        last = F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+        return F.slice(pieces, first, F.greatest(last - first + 1, F.lit(0)))
 
-def word_count(text: Column, blank: str = f"{BLANK}+") -> Column:
-    pieces = F.split(F.coalesce(text, F.lit("")), blank)
-    edges = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
-    return F.greatest(F.size(pieces) - edges, F.lit(0)).cast("long")
+    return let(F.split(F.coalesce(text, F.lit("")), blank), inner)
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value evaluated once for each row."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def word_count(text: Column, blank: str = f"{BLANK}+") -> Column:
+    def inner(pieces: Column) -> Column:
+        edges = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
+        return F.greatest(F.size(pieces) - edges, F.lit(0)).cast("long")
+
+    return let(F.split(F.coalesce(text, F.lit("")), blank), inner)
