@@ -12,6 +12,8 @@ import json
 import sys
 from pathlib import Path
 
+from pyspark.errors import PySparkException
+
 from .plans import report as rp
 from .plans.rules import TIERS
 
@@ -101,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         valid, reason = evidence.verify_bundle(args.bundle, args.public_key)
         print(reason)
         return int(not valid)
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, PySparkException) as e:  # readers fail inside Spark
         print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 2
 

@@ -137,6 +137,8 @@ def scan_path(spark: SparkSession, path: str, catalog: rl.Catalog | None = None,
     tree is bounded by the reader's limits; so are the findings and entries collected here."""
     began = time.perf_counter()
     path = os.path.abspath(path)
+    if not os.path.lexists(path):
+        raise ValueError(f"no such file or folder: {path}")
     root = path if os.path.isdir(path) else os.path.dirname(path)
     config = config or load_config(root)
     catalog = active_rules(config, root, catalog, articles)
