@@ -7,7 +7,8 @@ class from the start, so groups of copies cost no pairs. The other links:
 1. Inverted lists of retained values. Two sets with similarity t share about t*k
    values of their sketches, so they meet in the list of one of each sketch's rarest
    k - c + 1 values, c lying 5.5 standard deviations below t*k (chance of a miss per
-   pair under one in ten million; none for sets under t*k, whose sketch is the set).
+   pair at the very limit, the estimate below included, about 3 in ten million; none for
+   sets under t*k, whose sketch is the set).
 2. Lists of up to `short` classes give all their pairs. Pairs with too different
    sizes, or whose union sketch estimates a far lower similarity, are filtered; the
    full sets decide.
