@@ -38,8 +38,8 @@ PATTERNS = {
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = rf"^(?:{_FEMALE}|{_MALE})\.? "
-#: A mention has one of these; texts without any skip the long expression.
-_HINT = rf"[0-9@]|(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}|[a-fA-F]{{32}}"
+#: A mention has one of these (every alternative of UNION implies one); texts without any skip the long expression.
+_HINT = rf"[0-9@]|(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
 #: Alphabets of one script each: lower case, by the range that a letter falls in.
 _SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "ß-ÿ": "àáâäèéêëìíîïòóôöùúûüñç", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзиклмнопрстуфхцчшщыэюя"}
 ROUNDS = 64

@@ -76,6 +76,18 @@ def test_colliding_entities_become_distinct(spark):
     assert len(set(new)) == len(ips) and not set(new) & set(ips)
 
 
+#: For each type, mentions with as few digits as it allows.
+BARE = {"email": ["a.b@ex.com"], "ip": ["10.0.0.7"], "phone": ["+1 (017) 555-7713"], "ssn": ["078-05-1120"], "iban": ["GB82 WEST 1234 5698 7654 32"], "card": ["4111-1111-1111-1111"],
+        "secret": ["sk-" + "abcdefghij" * 2, *(f"gh{c}_" + "abcdefghijkl" * 3 for c in "pousr"), "AKIA" + "ABCDEFGHIJKLMNOP", "abcdefab" * 4], "name": ["Mrs Smith"]}
+
+
+def test_every_pattern_passes_the_hint(spark):
+    assert BARE.keys() == surrogates.PATTERNS.keys()
+    df = spark.createDataFrame([(x, f"so {x} it is") for xs in BARE.values() for x in xs], "mention string, text string")
+    for r in surrogates.replace(df).collect():
+        assert r["n_entities"] == 1 and r["mention"] not in r["text"]
+
+
 def test_surrogates_of_the_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     old = {r["doc_id"]: r["text"] for r in docs.collect()}
