@@ -8,7 +8,9 @@ valid where the original's is; a name gets letters of its script, with the title
 the gender left, and endings -o/-os or -a/-as by gender where the title tells it. The
 letters come from SHA-256 over the key, the type, the entity and an attempt number. Entities
 whose surrogate meets another's or a real entity's try again until all are distinct.
-Each mention is then written in its own punctuation and case.
+Each mention is then written in its own punctuation and case. A name is found by its title;
+within that text its bare repeats (the full name, first and last part, the last part alone,
+as written or in capitals) get the same surrogate, the earliest name's where two share one.
 
 Edge cases: null and empty texts stay as they are and have no mentions; texts of any
 length are scanned whole; repeated rows get the same text; an empty table stays empty.
@@ -23,8 +25,13 @@ from pyspark.sql import functions as F
 from .common import store, table
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_MALE = r"Mr|Herr|Señor|Monsieur|Don|Sr"
-_FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Doña|Sra|Mme|Mlle"
+_MALE = r"Mr|Mister|Sir|Herr|Señor|Signor|Monsieur|Don|Sr"
+_FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Signora|Madame|Mademoiselle|Doña|Sra|Dra|Mme|Mlle"
+_EITHER = r"Dr|Prof|Professor|Doctor|Doktor|Mx"
+_TITLES = rf"(?:(?:{_FEMALE}|{_MALE}|{_EITHER})\.? )+"
+_SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ibn|al) )*"
+#: One part of a name: Smith, McDonald, O'Brien, Smith-Jones.
+_PART = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}++)+(?:-(?:\p{Lu}\p{Ll}++)+)*"
 #: Types in order of precedence where two start at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
@@ -34,12 +41,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|AKIA[0-9A-Z]{16}|[0-9a-fA-F]{32,})(?![A-Za-z0-9_])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?<![\p{{L}}0-9]){_TITLES}(?:\p{{Lu}}\. ?)*{_SMALL}{_PART}(?: (?:\p{{Lu}}\. ?)*{_SMALL}{_PART}){{0,4}}",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = rf"^(?:{_FEMALE}|{_MALE})\.? "
+_TITLE = rf"^{_TITLES}"
 #: A mention has one of these (every alternative of UNION implies one); texts without any skip the long expression.
-_HINT = rf"[0-9@]|(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
+_HINT = rf"[0-9@]|{_TITLES}{_SMALL}\p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
 #: Alphabets of one script each: lower case, by the range that a letter falls in.
 _SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "ß-ÿ": "àáâäèéêëìíîïòóôöùúûüñç", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзиклмнопрстуфхцчшщыэюя"}
 ROUNDS = 64
@@ -54,7 +61,7 @@ def kind_of(m: Column) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     # Gender enters a name's canonical form, so that namesakes of two genders stay two.
-    gender = F.when(m.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
+    gender = F.when(m.rlike(rf"^(?:(?:{_EITHER})\.? )*(?:{_FEMALE})\.? "), "f").when(m.rlike(rf"^(?:(?:{_EITHER})\.? )*(?:{_MALE})\.? "), "m").otherwise("n")
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, "[^0-9]", ""))
             .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("email", "secret"), F.lower(m))
             .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(m, _TITLE, "")))).otherwise(m))
@@ -100,7 +107,7 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
     keep1 = F.concat(F.substring(entity, 1, 1), F.expr("substring(_plain, 2)"))
     card = F.when(_luhn_rest(entity) == 0, F.concat(F.expr("substring(_keep1, 1, length(_keep1) - 1)"), F.expr("cast((10 - _open) % 10 as string)"))).otherwise(F.col("_keep1"))
     iban = F.concat(F.substring(entity, 1, 2), F.expr("substring(_plain, 3)"))
-    name = F.concat(F.substring(entity, 1, 2), F.expr("substring(_plain, 3, length(_plain) - 3)"), F.when(~F.expr("right(entity, 1)").rlike("^[a-z]$"), F.expr("right(_plain, 1)")).when(entity.startswith("f:"), "a").otherwise("o"))
+    name = F.concat(F.substring(entity, 1, 2), F.expr("substring(_plain, 3, length(_plain) - 3)"), F.when(~F.expr("right(entity, 1)").rlike("^[a-z]$") | entity.startswith("n:"), F.expr("right(_plain, 1)")).when(entity.startswith("f:"), "a").otherwise("o"))
     # Prefixes by which a secret is recognised stay.
     lead = F.length(F.regexp_extract(entity, r"^(sk-|gh[pousr]_|akia)", 1))
     secret = F.concat(F.expr("left(entity, _lead)"), F.expr("substring(_plain, _lead + 1)"))
@@ -158,6 +165,21 @@ def render(mention: Column, kind: Column, fake: Column) -> Column:
     return {"title": title, "body": body, "new": new, "written": written}
 
 
+def _aliases(i: Column, kind: Column, body: Column, new: Column) -> Column:
+    """Array of (i, alias, fake): the bare forms by which a text may repeat a name."""
+    last, ends = "[^ ]+$", "^([^ ]+) .* ([^ ]+)$"
+    pair = lambda a, b: F.struct(i.alias("i"), a.alias("alias"), b.alias("fake"))
+    forms = [(body, new), (F.regexp_extract(body, last, 0), F.regexp_extract(new, last, 0)), (F.regexp_replace(body, ends, "$1 $2"), F.regexp_replace(new, ends, "$1 $2"))]
+    return F.when(kind == "name", F.array(*[pair(f(a), f(b)) for a, b in forms for f in (lambda x: x, F.upper)])).otherwise(F.array().cast("array<struct<i:int,alias:string,fake:string>>"))
+
+
+def _bare(x: Column, known: Column, any_of: Column) -> Column:
+    """x cut at the aliases that any_of matches: (s, n), the text with their fakes and how many there were."""
+    rest, hits = F.split(x, any_of), F.regexp_extract_all(x, any_of, F.lit(0))
+    s = F.array_join(F.transform(F.arrays_zip(rest.alias("r"), hits.alias("a")), lambda z: F.concat(z["r"], F.coalesce(F.element_at(known, z["a"]), F.lit("")))), "")
+    return F.when(F.size(known) > 0, F.struct(s.alias("s"), F.size(hits).alias("n"))).otherwise(F.struct(x.alias("s"), F.lit(0).alias("n")))
+
+
 def replace(docs: DataFrame, key: str = "auditloom", text: str = "text", counted: str = "n_entities") -> DataFrame:
     """docs with `text` rewritten, and the number of its mentions as column `counted`."""
     t = F.col(text)
@@ -170,15 +192,23 @@ def replace(docs: DataFrame, key: str = "auditloom", text: str = "text", counted
     m = mentions.join(assign(mentions, key), ["kind", "entity"])
     r = render(F.col("mention"), F.col("kind"), F.col("fake"))
     m = m.withColumn("_title", r["title"]).withColumn("_body", r["body"]).withColumn("_new", r["new"]).withColumn("new", F.concat("_title", r["written"]))
-    per = m.groupBy("h", "len").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda s: s["new"]).alias("fakes")).alias("p")
+    m = m.withColumn("_known", _aliases(F.col("i"), F.col("kind"), F.col("_body"), F.expr("substring(new, length(_title) + 1)")))
+    per = m.groupBy("h", "len").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda s: s["new"]).alias("fakes"), F.sort_array(F.flatten(F.collect_list("_known"))).alias("_known"))
+    # One fake for each alias, the earliest name's; in the expression longer aliases come first.
+    per = per.withColumn("known", F.map_from_entries(F.transform(F.array_distinct(F.transform("_known", lambda k: k["alias"])), lambda a: F.struct(a, F.get(F.filter("_known", lambda k: k["alias"] == a), F.lit(0))["fake"]))))
+    longest = F.transform(F.sort_array(F.transform(F.map_keys("known"), lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))), asc=False), lambda z: F.concat(F.lit(r"\Q"), z["a"], F.lit(r"\E")))
+    per = per.select("h", "len", "fakes", "known", F.concat(F.lit(r"(?<![\p{L}0-9])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])")).alias("any_of")).alias("p")
     clean = docs.filter(~has).withColumn(counted, F.lit(0).cast("long"))
     # Names of the two sides stay apart by their aliases, whatever columns docs has.
     d = docs.filter(has).alias("d")
     met = d.join(per, (F.xxhash64(F.col(f"d.`{text}`")) == F.col("p.h")) & (F.length(F.col(f"d.`{text}`")) == F.col("p.len")))
     pieces = F.split(F.col(f"d.`{text}`"), UNION)
-    whole = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("p.fakes"), i), F.lit("")))), "")
-    columns = [whole.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c != counted]
-    changed = met.select(*columns, F.size("p.fakes").cast("long").alias(counted))
+    done = F.transform(pieces, lambda x: _bare(x, F.col("p.known"), F.col("p.any_of")))
+    kept = [c for c in docs.columns if c not in (text, counted)]
+    met = met.select(*[F.col(f"d.`{c}`") for c in kept], F.col("p.fakes").alias("_al_fakes"), done.alias("_al_done"))
+    whole = F.array_join(F.transform("_al_done", lambda x, i: F.concat(x["s"], F.coalesce(F.get("_al_fakes", i), F.lit("")))), "")
+    bare = F.aggregate("_al_done", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    changed = met.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != counted], (F.size("_al_fakes") + bare).alias(counted))
     return clean.unionByName(changed)
 
 

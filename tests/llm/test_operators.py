@@ -88,6 +88,21 @@ def test_every_pattern_passes_the_hint(spark):
         assert r["n_entities"] == 1 and r["mention"] not in r["text"]
 
 
+def test_bare_repeats_of_a_titled_name(spark):
+    rows = [(1, "Mr. John Smith came. John Smith said so; Smith's hat. JOHN SMITH! Smithson stayed, smith too. Smith left"),
+            (2, "Said Mary O'Brien, then Prof. Dr. Mary Ann O'Brien: O'Brien."), (3, "Frau Dr. Anna von der Berg-Klein; Berg-Klein. Dr J. R. McDonald and McDonald"),
+            (4, "Mr. John Ronald Smith and John Smith"), (5, "John Smith untitled, Mr. Key x@y.com $1 Key \\1 Key")]
+    got = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {i: r["n_entities"] for i, r in got.items()} == {1: 5, 2: 3, 3: 4, 4: 2, 5: 4}
+    first, last = re.match(r"Mr\. (\w+) (\w+) came", got[1]["text"]).groups()
+    assert got[1]["text"] == f"Mr. {first} {last} came. {first} {last} said so; {last}'s hat. {f'{first} {last}'.upper()}! Smithson stayed, smith too. {last} left" and last != "Smith"
+    first, middle, last = re.search(r"Prof\. Dr\. (\w+) (\w+) (\w'\w+)", got[2]["text"]).groups()
+    assert got[2]["text"] == f"Said {first} {last}, then Prof. Dr. {first} {middle} {last}: {last}."
+    assert not re.search("Anna|Berg|Klein|Donald", got[3]["text"]) and re.match(r"Frau Dr\. \w+ \w{3} \w{3} (\w+-\w+); \1\. Dr \w\. \w\. (\w+) and \2$", got[3]["text"])
+    assert re.match(r"Mr\. (\w+) \w+ (\w+) and \1 \2$", got[4]["text"]) and not re.search("John|Ronald|Smith", got[4]["text"])
+    assert re.match(r"John Smith untitled, Mr\. (\w{3}) \w@\w\.com \$1 \1 \\1 \1$", got[5]["text"])
+
+
 def test_surrogates_of_the_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     old = {r["doc_id"]: r["text"] for r in docs.collect()}
