@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
+import numpy as np
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe"))
 #: Elements that begin and end a block of text; others run on within it.
@@ -88,36 +91,94 @@ def _elements(node: Node) -> list[Node]:
     return [k for k in node.kids if isinstance(k, Node)]
 
 
-def match(a: Node, b: Node, found: dict[int, Node], limit: int = 200) -> int:
+class _Shapes:
+    """Numbers for trees of equal labels, so that the match of two shapes is worked out once."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.of: dict[int, int] = {}
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def __call__(self, node: Node) -> int:
+        todo = [node]
+        while todo:
+            x = todo[-1]
+            if id(x) not in self.of:
+                kids = _elements(x)
+                if missing := [k for k in kids if id(k) not in self.of]:
+                    todo.extend(missing)
+                    continue
+                self.of[id(x)] = self.ids.setdefault((x.label, *(self.of[id(k)] for k in kids)), len(self.ids))
+            todo.pop()
+        return self.of[id(node)]
+
+    def weight(self, a: Node, b: Node) -> int:
+        """What match(a, b) returns."""
+        if a.label != b.label:
+            return 0
+        key = self(a), self(b)
+        if key not in self.weights:
+            self.weights[key] = 1 + sum(self.weight(p, q) for p, q in _aligned(_elements(a), _elements(b), self))
+        return self.weights[key]
+
+
+def _aligned(x: list[Node], y: list[Node], shapes: _Shapes) -> list[tuple[Node, Node]]:
+    """The pairs of the heaviest order-preserving match, at any length. Rows of the table are
+    kept at every `step`-th and made again on the way back, so memory grows with n ** 1.5."""
+    if not x or not y:
+        return []
+    if [k.label for k in x] == [k.label for k in y]:
+        return list(zip(x, y))
+    n, m, out = len(x), len(y), []
+    while n and m and shapes(x[n - 1]) == shapes(y[m - 1]):  # a whole tree each: no other partner is heavier
+        n, m = n - 1, m - 1
+        out.append((x[n], y[m]))
+    if not n or not m:
+        return out
+    place: dict[int, int] = {}
+    column = np.array([place.setdefault(shapes(q), len(place)) for q in y[:m]])
+    kinds = list({shapes(q): q for q in y[:m]}.values())
+    weights: dict[int, np.ndarray] = {}
+    for p in x[:n]:
+        if shapes(p) not in weights:
+            weights[shapes(p)] = np.array([shapes.weight(p, q) for q in kinds], np.int64)
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = row.copy()
+        np.maximum(row[1:], row[:-1] + weights[shapes(x[i])][column], out=new[1:])
+        return np.maximum.accumulate(new)
+
+    step = math.isqrt(n) + 1
+    row, kept = np.zeros(m + 1, np.int64), []
+    for i in range(n):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    i, j = n, m
+    while i and j:
+        first = (i - 1) // step * step
+        rows = [kept[first // step]]
+        for k in range(first, i):
+            rows.append(after(rows[-1], k))
+        while i > first and j:
+            here, above = rows[i - first], rows[i - 1 - first]
+            w = weights[shapes(x[i - 1])][column[j - 1]]
+            if w and here[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                out.append((x[i], y[j]))
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
+def match(a: Node, b: Node, found: dict[int, Node], shapes: _Shapes | None = None) -> int:
     """Simple tree matching: the size of the largest order-preserving match of equal labels.
     found gets, for nodes of a by identity, the node of b that each is aligned with. Children
-    beyond `limit` on either side are runs of alike blocks; those are aligned in order."""
+    whose labels agree one by one are paired in order."""
     if a.label != b.label:
         return 0
     found[id(a)] = b
-    x, y = _elements(a), _elements(b)
-    if not x or not y:
-        return 1
-    if len(x) > limit or len(y) > limit or [k.label for k in x] == [k.label for k in y]:
-        return 1 + sum(match(p, q, found, limit) for p, q in zip(x, y))
-    weight = [[0] * len(y) for _ in x]
-    own: dict[tuple[int, int], dict[int, Node]] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            if p.label == q.label:
-                own[i, j] = {}
-                weight[i][j] = match(p, q, own[i, j], limit)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    i, j = len(x), len(y)
-    while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            found.update(own[i - 1, j - 1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[len(x)][len(y)]
+    shapes = shapes or _Shapes()
+    return 1 + sum(match(p, q, found, shapes) for p, q in _aligned(_elements(a), _elements(b), shapes))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import compression_quality, decontamination, html_extraction, mixing, quality_rules, queries, surrogates, token_counts, url_filter
 from auditloom.llm.common import word_count, words
-from auditloom.llm.dom import parse
+from auditloom.llm.dom import match, parse
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "labels", "benchmark")
@@ -179,6 +179,34 @@ def test_wrapper_drops_constant_slots(spark):
     assert "Story 1" in got[7] and len(got) == len(rows)
 
 
+def test_long_lists_are_aligned_exactly(spark):
+    # An extra paragraph before the end shifts what an alignment by index would pair.
+    for n in (150, 250, 3000):
+        rows = [(i, f"http://h.org/{i}", "<div>" + "".join(f"<p>Text {i} {k}</p>" for k in range(n + i)) + "<h2>t</h2><p>Fixed notice</p><div>All rights</div></div>") for i in range(4)]
+        got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert not any("Fixed" in r["text"] or "rights" in r["text"] for r in got) and all(f"Text {r['page_id']} {n - 1}" in r["text"] for r in got)
+
+
+def test_alignment_equals_brute_force():
+    def heaviest(a, b):
+        if a.label != b.label:
+            return 0
+        x, y = ([k for k in t.kids if not isinstance(k, str)] for t in (a, b))
+        if [k.label for k in x] == [k.label for k in y]:
+            return 1 + sum(map(heaviest, x, y))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + heaviest(p, q))
+        return 1 + best[-1][-1]
+
+    rng = random.Random(3)
+    page = lambda n: parse("<div>" + "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c<li>d</ul>", "<ul><li><b>c</b></ul>", "<section><p>a</p><h2>b</h2></section>", "<section><p>x</p></section>"]) for _ in range(n)) + "</div>")
+    for n in [*range(12)] * 8 + [220, 260]:
+        a, b, found = page(n), page(max(0, n + rng.randint(-3, 3))), {}
+        assert match(a, b, found) == heaviest(a, b) == len(found)
+
+
 # -- 7 tokens ---------------------------------------------------------------
 
 def _library():
