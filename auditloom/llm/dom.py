@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from itertools import product
 
 import numpy as np
 
@@ -15,7 +16,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 #: A start tag of a key closes an open element of the value's tags, up to the nearest container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+(?=>)|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -28,59 +29,83 @@ class Node:
         self.label = tag + "." + attrs.get("class", "") if attrs else tag
 
 
+class _Builder:
+    """Where a parse stands, with the number of open elements of each tag, so that an end
+    tag without a start costs nothing however deep the markup is."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("html", {}, None)
+        self.open: dict[str, int] = {}
+
+    def leave(self, upto: Node) -> None:
+        """Closes what is open up to and with upto."""
+        while True:
+            x, self.here = self.here, self.here.up
+            self.open[x.tag] -= 1
+            if x is upto:
+                return
+
+    def end(self, tag: str) -> None:
+        if not self.open.get(tag):
+            return
+        node = self.here
+        while node.tag != tag:
+            if tag not in BLOCKS and node.tag in BLOCKS:  # an inline end tag does not close the blocks around it
+                return
+            node = node.up
+        self.leave(node)
+
+    def make_room(self, tag: str) -> None:
+        """Closes what a start tag ends without saying so."""
+        node, last = self.here, None
+        if tag in _CLOSES:
+            if not any(self.open.get(t) for t in _CLOSES[tag]):
+                return
+            while node is not self.root and node.tag not in _HOLDS[tag]:
+                if node.tag in _CLOSES[tag]:
+                    last = node
+                node = node.up
+        elif tag in BLOCKS and self.open.get("p"):  # a block ends an open paragraph and what is open in it
+            while node is not self.root and node.tag not in BLOCKS:
+                node = node.up
+            last = node if node.tag == "p" else None
+        if last is not None:
+            self.leave(last)
+
+    def start(self, tag: str, attrs: dict[str, str], leaf: bool) -> None:
+        self.make_room(tag)
+        node = Node(tag, attrs, self.here)
+        self.here.kids.append(node)
+        if not leaf:
+            self.here = node
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+
 def parse(source: str) -> Node:
-    root = Node("html", {}, None)
-    here, at, n = root, 0, len(source)
+    build, at, n, last = _Builder(), 0, len(source), source.rfind(">")
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at) if at <= last or source.find("<!", at) >= 0 else None
         text = source[at : m.start()] if m else source[at:]
         if text:
-            here.kids.append(text)
+            build.here.kids.append(text)
         if not m:
             break
         at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[2]:
             continue
-        tag = tag.lower()
+        tag, rest = m[2].lower(), m[3]
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                # An inline end tag does not close the blocks around it.
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = None
-                    break
-                node = node.up
-            if node is not None and node is not root:
-                here = node.up
-            continue
-        if tag in ("html", "head"):
-            continue
-        if tag == "body":
-            here = root
-            continue
-        if tag in _CLOSES:
-            node = here
-            while node is not None and node.tag not in _HOLDS[tag]:
-                if node.tag in _CLOSES[tag] and node is not root:
-                    here = node.up
-                node = node.up
-        elif tag in BLOCKS:  # a block ends an open paragraph and what is open in it
-            node = here
-            while node is not None and (node.tag == "p" or node.tag not in BLOCKS):
-                if node.tag == "p":
-                    here = node.up
-                    break
-                node = node.up
-        attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3] and not m[3].isspace() else {}
-        node = Node(tag, attrs, here)
-        here.kids.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[4]:
-            here = node
-    return root
+            build.end(tag)
+        elif tag == "body":
+            while build.here is not build.root:
+                build.leave(build.here)
+        elif tag not in ("html", "head"):
+            attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(rest)} if rest and not rest.isspace() else {}
+            build.start(tag, attrs, tag in RAW or tag in VOID or rest.endswith("/"))
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                at = end.end() if end else n
+    return build.root
 
 
 def text_of(raw: str) -> str:
@@ -113,13 +138,26 @@ class _Shapes:
         return self.of[id(node)]
 
     def weight(self, a: Node, b: Node) -> int:
-        """What match(a, b) returns."""
-        if a.label != b.label:
-            return 0
-        key = self(a), self(b)
-        if key not in self.weights:
-            self.weights[key] = 1 + sum(self.weight(p, q) for p, q in _aligned(_elements(a), _elements(b), self))
-        return self.weights[key]
+        """What match(a, b) returns. Weights of children are worked out first, on a list of our
+        own, so that the depth of the markup is no bound."""
+        todo = [(a, b)]
+        while todo:
+            p, q = todo[-1]
+            key = self(p), self(q)
+            if p.label != q.label or key in self.weights:
+                todo.pop()
+                continue
+            x, y = _elements(p), _elements(q)
+            if [k.label for k in x] == [k.label for k in y]:
+                needed = zip(x, y)
+            else:
+                needed = product({self(k): k for k in x}.values(), {self(k): k for k in y}.values())
+            missing = [(k, l) for k, l in needed if k.label == l.label and (self(k), self(l)) not in self.weights]
+            if missing:
+                todo.extend(missing)
+                continue
+            self.weights[key] = 1 + sum(self.weights[self(k), self(l)] for k, l in _aligned(x, y, self))
+        return self.weights[self(a), self(b)] if a.label == b.label else 0
 
 
 def _aligned(x: list[Node], y: list[Node], shapes: _Shapes) -> list[tuple[Node, Node]]:
@@ -176,9 +214,11 @@ def _aligned(x: list[Node], y: list[Node], shapes: _Shapes) -> list[tuple[Node,
 def match(a: Node, b: Node, found: dict[int, Node], shapes: _Shapes | None = None) -> int:
     """Simple tree matching: the size of the largest order-preserving match of equal labels.
     found gets, for nodes of a by identity, the node of b that each is aligned with. Children
-    whose labels agree one by one are paired in order."""
-    if a.label != b.label:
-        return 0
-    found[id(a)] = b
-    shapes = shapes or _Shapes()
-    return 1 + sum(match(p, q, found, shapes) for p, q in _aligned(_elements(a), _elements(b), shapes))
+    whose labels agree one by one are paired in order. Trees may be of any depth."""
+    shapes, todo, size = shapes or _Shapes(), [(a, b)] if a.label == b.label else [], 0
+    while todo:
+        p, q = todo.pop()
+        found[id(p)] = q
+        size += 1
+        todo.extend(_aligned(_elements(p), _elements(q), shapes))
+    return size
