@@ -5,16 +5,22 @@ a number, lower case of an address), so that differently written mentions of one
 stay one. Each entity gets a surrogate of the same form: digits for digits, letters of the
 same script for letters, octets of the same width for an address, a check digit that is
 valid where the original's is; a name gets letters of its script, with the title and so
-the gender left, and endings -o/-os or -a/-as by gender where the title tells it. The
-letters come from SHA-256 over the key, the type, the entity and an attempt number. Entities
-whose surrogate meets another's or a real entity's try again until all are distinct.
+the gender left, and where the title tells a gender its last letter is one that such names
+end with in its script (Latin a or o, Cyrillic а or в, Greek α or ς). The letters come from
+SHA-256 over the key, the type, the entity and an attempt number. Entities whose
+surrogate meets another's or a real entity's try again; from the attempt WIDER on their
+form grows (names by two letters an attempt, addresses by two letters or to octets of
+any width, numbers by a digit), so that all become distinct however short they are.
 Each mention is then written in its own punctuation and case. A name is found by its title;
 within that text its bare repeats (the full name, first and last part, the last part alone,
 as written or in capitals) get the same surrogate, the earliest name's where two share one.
 
+The key is the argument, else the setting `spark.auditloom.pii.key`; the default is public
+and for tests only: who knows the key can test a guess at an entity.
+
 Edge cases: null and empty texts stay as they are and have no mentions; texts of any
-length are scanned whole; repeated rows get the same text; an empty table stays empty.
-Entities too short to have enough forms (distinctness not reached) raise an error.
+length are scanned whole; repeated rows get the same text; an empty table stays empty;
+other columns are kept as they are, except one with the name of the count, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,26 +28,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import let, store, table
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MALE = r"Mr|Mister|Sir|Herr|Señor|Signor|Monsieur|Don|Sr"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Señorita|Signora|Madame|Mademoiselle|Doña|Sra|Dra|Mme|Mlle"
 _EITHER = r"Dr|Prof|Professor|Doctor|Doktor|Mx"
-_TITLES = rf"(?:(?:{_FEMALE}|{_MALE}|{_EITHER})\.? )+"
-_SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ibn|al) )*"
+# Loops over groups have a bound or give nothing back: Java takes the others by recursion.
+_TITLES = rf"(?:(?:{_FEMALE}|{_MALE}|{_EITHER})\.? ){{1,6}}"
+_SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ibn|al) ){0,4}"
+_INITIALS = r"(?:\p{Lu}\. ?){0,6}"
 #: One part of a name: Smith, McDonald, O'Brien, Smith-Jones.
-_PART = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}++)+(?:-(?:\p{Lu}\p{Ll}++)+)*"
+_PART = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}++)++(?:-(?:\p{Lu}\p{Ll}++)++)*+"
 #: Types in order of precedence where two start at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![A-Za-z0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|AKIA[0-9A-Z]{16}|[0-9a-fA-F]{32,})(?![A-Za-z0-9_])",
-    "name": rf"(?<![\p{{L}}0-9]){_TITLES}(?:\p{{Lu}}\. ?)*{_SMALL}{_PART}(?: (?:\p{{Lu}}\. ?)*{_SMALL}{_PART}){{0,4}}",
+    "name": rf"(?<![\p{{L}}0-9]){_TITLES}{_INITIALS}{_SMALL}{_PART}(?: {_INITIALS}{_SMALL}{_PART}){{0,4}}",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = rf"^{_TITLES}"
@@ -49,7 +57,10 @@ _TITLE = rf"^{_TITLES}"
 _HINT = rf"[0-9@]|{_TITLES}{_SMALL}\p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
 #: Alphabets of one script each: lower case, by the range that a letter falls in.
 _SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "ß-ÿ": "àáâäèéêëìíîïòóôöùúûüñç", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзиклмнопрстуфхцчшщыэюя"}
-ROUNDS = 64
+_ENDINGS = {"f": {"a-z": "a", "α-ω": "α", "а-я": "а"}, "m": {"a-z": "o", "α-ω": "ς", "а-я": "в"}}
+#: The attempt from which on forms grow.
+WIDER = 3
+KEY_SETTING, PUBLIC_KEY = "spark.auditloom.pii.key", "auditloom"
 
 
 def kind_of(m: Column) -> Column:
@@ -67,10 +78,18 @@ def canonical(m: Column, kind: Column) -> Column:
             .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(m, _TITLE, "")))).otherwise(m))
 
 
-def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """Sixteen-bit numbers as hex, one for each character of the entity."""
+def _form(kind: Column, entity: Column, attempt: Column) -> Column:
+    """The entity itself, or from the attempt WIDER on a longer one of its kind."""
+    more = F.greatest(attempt - (WIDER - 1), F.lit(0)).cast("int")
+    longer = (F.when(kind == "email", F.concat(F.repeat(F.lit("ba"), more), entity)).when(kind == "ip", entity)
+              .when(kind == "name", F.concat(entity, F.repeat(F.regexp_extract(entity, r"\p{L}{1,2}$", 0), more))).otherwise(F.concat(entity, F.repeat(F.lit("0"), more))))
+    return F.when(more == 0, entity).otherwise(longer)
+
+
+def _stream(key: str, kind: Column, entity: Column, form: Column, attempt: Column) -> Column:
+    """Array of digests: sixteen-bit numbers as hex, one for each character of the form."""
     block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"), i.cast("string")), 256)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(entity) / 16).cast("int")), block), "")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 16).cast("int")), block)
 
 
 def _luhn_rest(digits: Column) -> Column:
@@ -80,12 +99,13 @@ def _luhn_rest(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
-def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """An entity's stand-in of the same length and form."""
-    stream = F.col("_stream")
+def _with_surrogate(df: DataFrame, key: str) -> DataFrame:
+    """df: kind, entity, attempt; adds fake, a stand-in of the form."""
+    kind, form, attempt, stream, plain = (F.col(c) for c in ("kind", "_form", "attempt", "_stream", "_plain"))
+    df = df.withColumn("_form", _form(kind, F.col("entity"), attempt)).withColumn("_stream", _stream(key, kind, F.col("entity"), form, attempt))
 
     def number(i):
-        return F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return F.conv(F.substring(F.get(stream, F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
     def letter(c, i):
         lower, out = F.lower(c), c
@@ -96,56 +116,46 @@ def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column
         sound = F.when(lower.rlike("^[aeiou]$"), F.substring(F.lit("aeiou"), number(i) % 5 + 1, F.lit(1))).otherwise(F.substring(F.lit("bcdfghjklmnprstvw"), number(i) % 17 + 1, F.lit(1)))
         out = F.when((kind == "name") & lower.rlike("^[a-z]$"), F.when(c == lower, sound).otherwise(F.upper(sound))).otherwise(out)
         hexed = F.substring(F.lit("abcdef"), number(i) % 6 + 1, F.lit(1))
-        out = F.when((kind == "secret") & entity.rlike("^[0-9a-f]+$") & c.rlike("^[a-f]$"), hexed).otherwise(out)
+        out = F.when((kind == "secret") & form.rlike("^[0-9a-f]+$") & c.rlike("^[a-f]$"), hexed).otherwise(out)
         return F.when(c.rlike("^[0-9]$"), (number(i) % 10).cast("string")).otherwise(out)
 
-    plain = F.array_join(F.transform(F.split(entity, ""), letter), "")
-    octets = F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: F.when(F.length(o) == 1, number(i) % 10).when(F.length(o) == 2, 10 + number(i) % 90).otherwise(100 + number(i) % 156).cast("string")), ".")
-    # The last domain label stays, so that an address remains one.
-    at_tld = F.length(F.regexp_extract(entity, r"(\.[a-z]+)$", 1))
-    mail = F.concat(F.expr("substring(_plain, 1, length(_plain) - _tld)"), F.expr("right(entity, _tld)"))
-    keep1 = F.concat(F.substring(entity, 1, 1), F.expr("substring(_plain, 2)"))
-    card = F.when(_luhn_rest(entity) == 0, F.concat(F.expr("substring(_keep1, 1, length(_keep1) - 1)"), F.expr("cast((10 - _open) % 10 as string)"))).otherwise(F.col("_keep1"))
-    iban = F.concat(F.substring(entity, 1, 2), F.expr("substring(_plain, 3)"))
-    name = F.concat(F.substring(entity, 1, 2), F.expr("substring(_plain, 3, length(_plain) - 3)"), F.when(~F.expr("right(entity, 1)").rlike("^[a-z]$") | entity.startswith("n:"), F.expr("right(_plain, 1)")).when(entity.startswith("f:"), "a").otherwise("o"))
-    # Prefixes by which a secret is recognised stay.
-    lead = F.length(F.regexp_extract(entity, r"^(sk-|gh[pousr]_|akia)", 1))
-    secret = F.concat(F.expr("left(entity, _lead)"), F.expr("substring(_plain, _lead + 1)"))
-    return {"plain": plain, "octets": octets, "tld": at_tld, "mail": mail, "keep1": keep1, "card": card, "iban": iban, "name": name, "lead": lead, "secret": secret}
-
-
-def _with_surrogate(df: DataFrame, key: str) -> DataFrame:
-    """df: kind, entity, attempt; adds fake."""
-    kind, entity = F.col("kind"), F.col("entity")
-    df = df.withColumn("_stream", _stream(key, kind, entity, F.col("attempt")))
-    s = surrogate(key, kind, entity, F.col("attempt"))
-    df = df.withColumn("_plain", s["plain"]).withColumns({"_tld": s["tld"], "_lead": s["lead"], "_keep1": s["keep1"]})
-    df = df.withColumn("_open", _luhn_rest(F.expr("concat(substring(_keep1, 1, length(_keep1) - 1), '0')")))
-    fake = (F.when(kind == "ip", s["octets"]).when(kind == "email", s["mail"]).when(kind == "card", s["card"]).when(kind == "phone", F.col("_keep1")).when(kind == "iban", s["iban"])
-            .when(kind == "name", s["name"]).when(kind == "secret", s["secret"]).otherwise(F.col("_plain")))
-    return df.withColumn("fake", fake).drop("_stream", "_plain", "_tld", "_lead", "_keep1", "_open")
+    df = df.withColumn("_plain", F.array_join(F.transform(F.split(form, ""), letter), ""))
+    wide = attempt >= WIDER
+    octet = lambda o, i: F.when(wide, number(i) % 256).when(F.length(o) == 1, number(i) % 10).when(F.length(o) == 2, 10 + number(i) % 90).otherwise(100 + number(i) % 156).cast("string")
+    ip = F.array_join(F.transform(F.split(form, r"\."), octet), ".")
+    # The last domain label stays, so that an address remains one; so do the prefixes by which a secret is known.
+    tld = F.length(F.regexp_extract(form, r"(\.[a-z]+)$", 1))
+    mail = F.concat(F.substring(plain, F.lit(1), F.length(plain) - tld), F.substring(form, F.length(form) - tld + 1, tld))
+    lead = F.length(F.regexp_extract(form, r"^(sk-|gh[pousr]_|akia)", 1))
+    secret = F.concat(F.substring(form, F.lit(1), lead), F.substring(plain, lead + 1, F.length(plain)))
+    first = F.concat(F.substring(form, 1, 1), F.substring(plain, F.lit(2), F.length(plain)))
+    most = F.substring(first, F.lit(1), F.length(form) - 1)
+    card = F.when(_luhn_rest(F.col("entity")) == 0, F.concat(most, ((10 - _luhn_rest(F.concat(most, F.lit("0")))) % 10).cast("string"))).otherwise(first)
+    iban = F.concat(F.substring(form, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
+    end = F.substring(plain, F.length(plain), F.lit(1))
+    for gender, ends in _ENDINGS.items():
+        for span, letter_ in ends.items():
+            end = F.when(form.startswith(f"{gender}:") & form.rlike(f"[{span}]$"), letter_).otherwise(end)
+    name = F.concat(F.substring(form, 1, 2), F.substring(plain, F.lit(3), F.length(plain) - 3), end)
+    fake = F.when(kind == "ip", ip).when(kind == "email", mail).when(kind == "card", card).when(kind == "phone", first).when(kind == "iban", iban).when(kind == "name", name).when(kind == "secret", secret).otherwise(plain)
+    return df.withColumn("fake", fake).drop("_form", "_stream", "_plain")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """kind, entity, fake for distinct entities: fakes are distinct and never real."""
+    """kind, entity, fake for distinct entities: fakes are distinct and never real. A round
+    reads what former rounds have given away, but writes only its own."""
     real = store(entities.select("kind", "entity").distinct(), "pii-entities")
-    settled, left, attempt = None, real.withColumn("attempt", F.lit(0)), 0
+    settled, left, attempt = real.select("kind", "entity", F.lit("").alias("fake")).limit(0), real, 0
     while True:
-        tried = _with_surrogate(left, key)
-        tried = tried.join(real.select("kind", F.col("entity").alias("fake"), F.lit(1).alias("taken")), ["kind", "fake"], "left")
-        if settled is not None:
-            tried = tried.join(settled.select("kind", "fake", F.lit(1).alias("used")), ["kind", "fake"], "left")
-        else:
-            tried = tried.withColumn("used", F.lit(None).cast("int"))
-        first = tried.filter("taken IS NULL AND used IS NULL").groupBy("kind", "fake").agg(F.min("entity").alias("entity"))
-        now = first.select("kind", "entity", "fake")
-        settled = store(now if settled is None else settled.unionByName(now), f"pii-settled{attempt}")
+        tried = _with_surrogate(left.withColumn("attempt", F.lit(attempt)), key)
+        given = real.select("kind", F.col("entity").alias("fake")).unionByName(settled.select("kind", "fake")) if attempt else real.select("kind", F.col("entity").alias("fake"))
+        now = tried.join(given, ["kind", "fake"], "left_anti").groupBy("kind", "fake").agg(F.min("entity").alias("entity"))
+        now = store(now.select("kind", "entity", "fake"), f"pii-settled{attempt}")
+        settled = settled.unionByName(now) if attempt else now
+        left = store(left.join(now, ["kind", "entity"], "left_anti"), f"pii-left{attempt}")
         attempt += 1
-        left = left.select("kind", "entity").join(settled, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(attempt))
         if left.isEmpty():
             return settled
-        if attempt == ROUNDS:
-            raise ValueError("some entities have too few forms to stay distinct")
 
 
 def render(mention: Column, kind: Column, fake: Column) -> Column:
@@ -155,13 +165,20 @@ def render(mention: Column, kind: Column, fake: Column) -> Column:
     body = F.expr("substring(mention, length(_title) + 1)")
     new = F.when(kind == "name", F.expr("substring(fake, 3)")).otherwise(fake)
 
+    up = lambda c, n: F.when((c != F.lower(c)) & (kind != "iban"), F.upper(n)).otherwise(n)
+
     def place(acc, c):
         passes = c.rlike(r"^[^0-9]$") & kind.isin("phone", "card", "ssn") | ((kind == "iban") & (c == " "))
-        n = F.substring(F.col("_new"), acc["k"] + 1, F.lit(1))
-        out = F.when(passes, c).when((c != F.lower(c)) & (kind != "iban"), F.upper(n)).otherwise(n)
+        out = F.when(passes, c).otherwise(up(c, F.substring(F.col("_new"), acc["k"] + 1, F.lit(1))))
         return F.struct(F.concat(acc["s"], out).alias("s"), (acc["k"] + F.when(passes, 0).otherwise(1)).alias("k"))
 
-    written = F.aggregate(F.split(F.col("_body"), ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), place, lambda a: a["s"])
+    # Numbers, of bounded length, pass over their punctuation; the others agree place by place. What a
+    # longer form has more stands at the end, in capitals after capitals; of addresses it is the fake itself.
+    folded = F.aggregate(F.split("_body", ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), place, lambda a: F.concat(a["s"], F.substring(F.col("_new"), a["k"] + 1, F.length("_new"))))
+    rest = F.substring(F.col("_new"), F.length("_body") + 1, F.length("_new"))
+    placed = let(F.split("_new", ""), lambda new: F.array_join(F.transform(F.split("_body", ""), lambda c, i: up(c, F.get(new, i))), ""))
+    placed = F.concat(placed, F.when(F.col("_body") == F.upper("_body"), F.upper(rest)).otherwise(rest))
+    written = F.when(kind.isin("phone", "card", "ssn", "iban"), folded).when(kind.isin("ip", "email") & (F.length("_body") != F.length("_new")), F.col("_new")).otherwise(placed)
     return {"title": title, "body": body, "new": new, "written": written}
 
 
@@ -180,8 +197,9 @@ def _bare(x: Column, known: Column, any_of: Column) -> Column:
     return F.when(F.size(known) > 0, F.struct(s.alias("s"), F.size(hits).alias("n"))).otherwise(F.struct(x.alias("s"), F.lit(0).alias("n")))
 
 
-def replace(docs: DataFrame, key: str = "auditloom", text: str = "text", counted: str = "n_entities") -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, text: str = "text", counted: str = "n_entities") -> DataFrame:
     """docs with `text` rewritten, and the number of its mentions as column `counted`."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, PUBLIC_KEY)
     t = F.col(text)
     # A case keeps the order: the long expression only sees texts with a hint.
     has = F.when(F.coalesce(t.rlike(_HINT), F.lit(False)), t.rlike(UNION)).otherwise(False)
