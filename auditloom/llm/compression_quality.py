@@ -13,8 +13,8 @@ alike in everything but detail, so theirs are raw content, blocks one after the
 What is fitted comes from a bounded sample: of the labelled rows outside the held-out
 fold, those of each label with the `sample` smallest hashes of their id. These texts are
 read whole, by the executors: every second one is cut into blocks, of which the dictionaries
-take `blocks` for each label, one of each text in the order of their hashes, then a second
-of each and so on, wherever in the text they stand. The driver sees these blocks and two
+take `blocks` for each label, one of each text in the order of hashes of their places, then a
+second of each and so on, wherever in the text they stand. The driver sees these blocks and two
 numbers for each text. Every text is scored whole, however long. Labels, language, source and
 id are no inputs of a score.
 
@@ -159,7 +159,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not is_blank(text):
                 for view in VIEWS:
-                    each = sorted((blake2b(b, digest_size=16).digest(), b) for b in _blocks(view, text))
+                    own = blake2b(raw(text), digest_size=16).digest()
+                    each = sorted((blake2b(own + i.to_bytes(8, "big"), digest_size=16).digest(), b) for i, b in enumerate(_blocks(view, text)))
                     kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     columns = ([view] * len(each), [y] * len(each), range(len(each)), [h for h, _ in each], [b for _, b in each])
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["view", "y", "turn", "h", "block"])
