@@ -1,16 +1,25 @@
 """Quality rules with thresholds taken from the data, per language and source.
 
-Base figures come from whole texts. Ratios of them are held against fences that a
-mergeable quantile sketch gives for the document's (lang, source): a histogram with
-integer bounds (values under 128 exactly, above that the leading seven bits, so at
-most 1/64 relative error). Histograms of any two parts add up, in any order, to the
-histogram of the whole, so a hot group is summed map-side before the shuffle. The
-fence lies six times the middle-to-outer-decile distance beyond the median, and
-never closer than a stated margin: clean groups, where the deciles meet, are not cut.
+Base figures come from whole texts. Ratios of them are held against fences that
+mergeable quantile sketches give: a histogram with integer bounds (values under 128
+exactly, above that the leading seven bits, so at most 1/64 relative error). Histograms of
+any two parts add up, in any order, to the histogram of the whole: those of a
+(lang, source) add up to that of the language and of the corpus, and a hot group is summed
+map-side before the shuffle.
+
+A fence lies REACH times a spread beyond the median. The spread is the distance of the
+median and the quartile on that side, which junk of less than a quarter of a group does
+not move. Median and spread of a group of n rows are drawn to those of its language as if
+it had SHRINK more rows of that language, and a spread is at most twice the corpus's, so
+that a dirty group cannot make its own fence. Where the quartile meets the median, as for
+rates that most texts have none of, the spread is the weight of one event (a symbol, a
+repeated line, a repeated window) in a text of the group's median length. No fence
+is a constant; a rate's lower fence would lie under zero and is left out.
 
 Edge cases: a null or blank text has zero words and fails the base rule; null lang or
-source are groups of their own; a group of few rows gets its own (wide) fences;
-repeated rows count as often as they occur; an empty table gives an empty result.
+source are groups of their own; a group of few rows has nearly the fences of its language;
+repeated rows count as often as they occur; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import store, table, words
 
-#: metric -> (upper margin, lower margin or None): the least distance of a fence from the median.
-MARGINS = {"symbol_rate": (100, None), "dup_line_rate": (300, None), "repeat_rate": (300, None), "word_length": (300, 300)}
-REACH = 6
+#: metric -> what one event adds to it in a text of one word; none for a mean, which has fences on both sides.
+EVENTS = {"symbol_rate": 1000, "dup_line_rate": 10000, "repeat_rate": 3000, "word_length": 0}
+REACH, SHRINK = 8, 50
 
 
 def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,21 +72,34 @@ def rates(base: DataFrame) -> DataFrame:
 
 
 def sketch(rated: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """by, metric, cell, n: the mergeable histogram of every metric. Sums of sketches are sketches."""
-    entries = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("cell")) for m in MARGINS])
+    """by, metric, cell, n: the mergeable histogram of every metric and of the words. Sums of sketches are sketches."""
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("cell")) for m in (*EVENTS, "n_words")])
     return rated.select(*by, F.explode(entries).alias("e")).groupBy(*by, "e.metric", "e.cell").agg(F.count("*").alias("n"))
 
 
+def quartiles(sk: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, metric, n, q1, q2, q3 of sketches merged by `by`: cells are few, whatever the rows."""
+    merged = sk.groupBy(*by, "metric", "cell").agg(F.sum("n").alias("n"))
+    w = W.partitionBy(*by, "metric")
+    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
+    return run.groupBy(*by, "metric").agg(F.max("all").alias("n"), *[F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("cell"))).alias(f"q{k}") for k in (1, 2, 3)])
+
+
 def fences(sk: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row for each group: low_<metric> and high_<metric>."""
-    w = W.partitionBy(*by, "metric")
-    run = sk.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
-    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, F.col("cell")))
-    q = run.groupBy(*by, "metric").agg(at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
-    margin = lambda k: F.element_at(F.create_map(*[y for m, v in MARGINS.items() for y in (F.lit(m), F.lit(v[k] if v[k] is not None else None).cast("long"))]), F.col("metric"))
-    q = q.withColumn("high", F.col("q50") + F.greatest(REACH * (F.col("q90") - F.col("q50")), margin(0)))
-    q = q.withColumn("low", F.when(margin(1).isNotNull(), F.col("q50") - F.greatest(REACH * (F.col("q50") - F.col("q10")), margin(1))).otherwise(F.lit(-1)))
-    pick = [F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{k}_{m}") for m in MARGINS for k in ("low", "high")]
+    sk = store(sk, "quality-sketches")
+    own, wide, whole = (quartiles(sk, by[:k]) for k in (len(by), 1, 0))
+    words_ = own.filter("metric = 'n_words'").select(*by, F.greatest("q2", F.lit(1)).alias("length")).alias("w")
+    same = lambda x, y, cols: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols]
+    j = own.filter("metric != 'n_words'").alias("g").join(wide.alias("l"), same("g", "l", (*by[:1], "metric"))).join(F.broadcast(whole).alias("c"), F.col("g.metric") == F.col("c.metric"))
+    j = j.join(words_, same("g", "w", by))
+    drawn = lambda g, l: f"((g.n * ({g}) + {SHRINK} * ({l})) div (g.n + {SHRINK}))"
+    spread = lambda a, b: F.expr(f"least({drawn(f'g.{b} - g.{a}', f'l.{b} - l.{a}')}, 2 * (c.{b} - c.{a}))")
+    event = F.expr("case g.metric " + " ".join(f"when '{m}' then {e}" for m, e in EVENTS.items()) + " end div w.length")
+    median = F.expr(drawn("g.q2", "l.q2"))
+    q = j.select(*[F.col(f"g.{c}").alias(c) for c in by], F.col("g.metric").alias("metric"), (median + REACH * F.greatest(spread("q2", "q3"), event)).alias("high"),
+                 F.when(F.col("g.metric").isin([m for m, e in EVENTS.items() if not e]), median - REACH * spread("q1", "q2")).otherwise(-1).alias("low"))
+    pick = [F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{k}_{m}") for m in EVENTS for k in ("low", "high")]
     return q.groupBy(*by).agg(*pick)
 
 
@@ -88,7 +110,7 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     j = rated.alias("a").join(limits.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
-    for m in MARGINS:
+    for m in EVENTS:
         inside = inside & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
@@ -110,14 +132,21 @@ b AS (SELECT w.rid, doc_id, lang, source, len(ws) n_words, length(regexp_replace
 r AS (SELECT *, n_symbols * 1000 // greatest(n_words, 1) symbol_rate, n_dup_lines * 10000 // greatest(n_words, 1) dup_line_rate,
   n_repeat_words * 1000 // greatest(n_words, 1) repeat_rate, word_chars * 100 // greatest(n_words, 1) word_length FROM b),
 u AS (SELECT rid, lang, source, 'symbol_rate' metric, symbol_rate v FROM r UNION ALL SELECT rid, lang, source, 'dup_line_rate', dup_line_rate FROM r
-  UNION ALL SELECT rid, lang, source, 'repeat_rate', repeat_rate FROM r UNION ALL SELECT rid, lang, source, 'word_length', word_length FROM r),
+  UNION ALL SELECT rid, lang, source, 'repeat_rate', repeat_rate FROM r UNION ALL SELECT rid, lang, source, 'word_length', word_length FROM r
+  UNION ALL SELECT rid, lang, source, 'n_words', n_words FROM r),
 s AS (SELECT lang, source, metric, v, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) cell FROM u),
-h AS (SELECT lang, source, metric, cell, count(*) n FROM s GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY cell) upto, sum(n) OVER (PARTITION BY lang, source, metric) total FROM h),
-q AS (SELECT lang, source, metric, min(cell) FILTER (upto * 10 >= total) q10, min(cell) FILTER (upto * 10 >= total * 5) q50, min(cell) FILTER (upto * 10 >= total * 9) q90 FROM c GROUP BY ALL),
-f AS (SELECT lang, source, metric,
-  q50 + greatest(6 * (q90 - q50), CASE metric WHEN 'symbol_rate' THEN 100 WHEN 'dup_line_rate' THEN 300 WHEN 'repeat_rate' THEN 300 ELSE 300 END) high,
-  CASE metric WHEN 'word_length' THEN q50 - greatest(6 * (q50 - q10), 300) ELSE -1 END low FROM q),
+x AS (SELECT 'g' kind, lang, source, metric, cell FROM s UNION ALL SELECT 'l', lang, NULL, metric, cell FROM s UNION ALL SELECT 'c', NULL, NULL, metric, cell FROM s),
+h AS (SELECT kind, lang, source, metric, cell, count(*) n FROM x GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY kind, lang, source, metric ORDER BY cell) upto, sum(n) OVER (PARTITION BY kind, lang, source, metric) total FROM h),
+q AS (SELECT kind, lang, source, metric, max(total)::BIGINT n, min(cell) FILTER (upto * 4 >= total) q1, min(cell) FILTER (upto * 4 >= total * 2) q2, min(cell) FILTER (upto * 4 >= total * 3) q3 FROM c GROUP BY ALL),
+z AS (SELECT g.lang, g.source, g.metric, (g.n * g.q2 + 50 * l.q2) // (g.n + 50) mid,
+  least((g.n * (g.q3 - g.q2) + 50 * (l.q3 - l.q2)) // (g.n + 50), 2 * (a.q3 - a.q2)) up,
+  least((g.n * (g.q2 - g.q1) + 50 * (l.q2 - l.q1)) // (g.n + 50), 2 * (a.q2 - a.q1)) down,
+  CASE g.metric WHEN 'symbol_rate' THEN 1000 WHEN 'dup_line_rate' THEN 10000 WHEN 'repeat_rate' THEN 3000 ELSE 0 END // greatest(w.q2, 1) event
+  FROM q g JOIN q l ON g.kind = 'g' AND l.kind = 'l' AND g.metric = l.metric AND g.lang IS NOT DISTINCT FROM l.lang
+  JOIN q a ON a.kind = 'c' AND a.metric = g.metric
+  JOIN q w ON w.kind = 'g' AND w.metric = 'n_words' AND g.lang IS NOT DISTINCT FROM w.lang AND g.source IS NOT DISTINCT FROM w.source WHERE g.metric <> 'n_words'),
+f AS (SELECT lang, source, metric, mid + 8 * greatest(up, event) high, CASE metric WHEN 'word_length' THEN mid - 8 * down ELSE -1 END low FROM z),
 v AS (SELECT u.rid, bool_and(u.v BETWEEN f.low AND f.high) inside FROM u JOIN f ON u.metric = f.metric AND u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source GROUP BY u.rid)
 SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols::BIGINT n_symbols, n_dup_lines::BIGINT n_dup_lines, n_repeat_words::BIGINT n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) base_failed,
