@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share. Where none is named, a local session gets one
+    of its own; a cluster has to name one, since its machines do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auditloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +40,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: join_skewed takes keys with more rows than this, and more than one in HOT_SHARE of all, for hot.
+HOT_ROWS, HOT_SHARE = 1_000, 100_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """left joined with right, which has one row for each value of `on` and in column n how many
+    rows of left have it. Rows of hot values stay where they are: their partners are sent to
+    them. There are fewer than HOT_SHARE hot values whatever the data, which bounds what is
+    sent. The others are joined by a shuffle. left is read twice and should be a stored table."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.filter(F.col(n) > max(HOT_ROWS, total // HOT_SHARE))
+    right, few = right.select(on, *keep), F.broadcast(hot.select(on, *keep))
+    if hot.isEmpty():
+        return left.join(right, on)
+    cold = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right, on)
+    return cold.unionByName(left.join(few, on))
+
+
 def low(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,8 @@ Edge cases: null texts and texts without words are empty sets, linked with nothi
 with fewer words than five the whole sequence is one shingle; repeated rows (also under
 one id) fall into one class; null ids take part, and are never the smallest while another
 is there; an empty table gives an empty result. Other columns of docs are not read.
-Class numbers are 64-bit digests of whole sets.
+Class numbers are 64-bit digests of whole sets; where sets of one digest differ in size or
+sketch, they get numbers of their own.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import wordhash
-from .common import store, table
+from .common import join_skewed, store, table
 from .graph import components
 
 WIDTH, K, SHORT = 5, 48, 32
@@ -55,6 +56,10 @@ def shingle_set(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.unique(wordhash.chained(words, min(width, len(words)))) if len(words) else words
 
 
+def digest(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
     for at in range(0, len(texts), 500):
         h, counts = wordhash.batch_hashes(texts[at : at + 500])
@@ -71,7 +76,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
             classes, sizes, sketches = [], [], []
             for s in sets_of(batch.column(2).to_pylist()):
                 sizes.append(len(s))
-                classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                classes.append(digest(s) if len(s) else None)
                 sketches.append(s[:k].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32)
             flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
@@ -150,7 +155,8 @@ def exact_lists(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls), pa.int64()), pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s.view(np.int64))], names=["class", "n", "h"])
 
     each = store(texts.select("class", "text").mapInArrow(run, "class long, n long, h long"), "dedup-shingles")
-    shared = each.join(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")
+    counts = store(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "dedup-shingle-counts")
+    shared = join_skewed(each, counts, "h", "df", keep=("df",))
     w = W.partitionBy("class")
     pos = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "h")) - 1
     return store(shared.withColumn("pos", pos).filter(F.col("pos") <= F.col("n") - F.ceil(P * F.col("n") / Q)).select("h", "class", "n", "pos"), "dedup-prefixes")
@@ -169,8 +175,8 @@ def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
     hubs = lists.groupBy("h").agg(F.min(F.struct("pos", "class", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    hubs = hubs.select("h", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa"))
-    met = _side(lists, "b").join(hubs, "h").filter((F.col("a") != F.col("b")) & _bounds("a", "b"))
+    hubs = store(hubs.select("h", "size", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa")), "dedup-hubs")
+    met = join_skewed(_side(lists, "b"), hubs, "h", "size", keep=("a", "na", "pa")).filter((F.col("a") != F.col("b")) & _bounds("a", "b"))
     return store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-stars")
 
 
@@ -178,8 +184,8 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of a list whose classes are in different components so far."""
     r = lists.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     r = store(r, "dedup-rooted")
-    main = r.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    r = store(r.join(main, "h"), "dedup-mixed")
+    main = r.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count("*").alias("parts"), F.sum("c").alias("size"))
+    r = store(join_skewed(r, store(main.filter("parts > 1"), "dedup-mains"), "h", "size", keep=("main",)), "dedup-mixed")
     few = _side(r.filter("root <> main"), "a", F.col("root").alias("ra"), "main")
     met = few.join(_side(r, "b", F.col("root").alias("rb")), "h").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _bounds("a", "b"))
     return store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-cross")
@@ -188,11 +194,17 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and node, root for the classes that have links."""
     sig = store(signatures(docs), "dedup-signatures")
-    one = sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"))
-    reps = store(one.select("class", "r.*"), "dedup-classes")
+    own = F.struct("n", F.xxhash64("sketch").alias("s"))
+    one = lambda sig: store(sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.min(own).alias("x"), F.max(own).alias("y")).select("class", "r.*", (F.col("x") != F.col("y")).alias("unlike")), "dedup-classes")
+    reps = one(sig)
+    if not reps.filter("unlike").isEmpty():
+        mixed = reps.filter("unlike").select("class", F.lit(True).alias("unlike"))
+        sig = sig.join(mixed, "class", "left").withColumn("class", F.when(F.col("unlike"), F.xxhash64("class", "n", "sketch")).otherwise(F.col("class"))).drop("unlike")
+        sig = store(sig, "dedup-signatures")
+        reps = one(sig)
     posted = reps.select("class", "n", F.explode("sketch").alias("v"))
-    counts = posted.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = store(posted.join(counts, "v"), "dedup-postings")
+    counts = store(posted.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "dedup-value-counts")
+    shared = store(join_skewed(posted, counts, "v", "size", keep=("size",)), "dedup-postings")
     # A class's rarest values first; those that no other class retains come before all of these.
     w = W.partitionBy("class")
     kept = F.least("n", F.lit(K).cast("long"))
@@ -200,8 +212,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = math.floor(K * P / Q - 5.5 * math.sqrt(K * P / Q * (1 - P / Q)))
     last = F.when(F.col("n") <= K * P // Q, F.col("n") - F.ceil(P * F.col("n") / Q)).otherwise(kept - low)
     lists = store(shared.withColumn("pos", pos).filter(F.col("pos") <= last).select("v", "class", "n"), "dedup-lists")
-    sizes = lists.groupBy("v").agg(F.count("*").alias("size"))
-    sized = lists.join(sizes.filter("size > 1"), "v")
+    sizes = store(lists.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "dedup-list-sizes")
+    sized = join_skewed(lists, sizes, "v", "size", keep=("size",))
     pairs = store(short_pairs(reps, sized.filter(F.col("size") <= SHORT)), "dedup-candidates")
     long_ = store(sized.filter(F.col("size") > SHORT).select("class").distinct(), "dedup-long")
     either = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long_)

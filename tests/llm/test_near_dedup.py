@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.llm import near_dedup as nd
 
@@ -73,3 +74,32 @@ def test_query_on_the_small_table(spark):
     got = nd.op1_near_dedup(spark, "/root/testdata/sf0.001").collect()
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == brute(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_hot_values_are_sent_instead_of_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("auditloom.llm.common.HOT_ROWS", 4)
+    check(spark, corpus(3))
+
+
+def test_sets_of_one_digest_stay_apart(spark, monkeypatch):
+    """With digests of three bits nearly all classes collide."""
+    original = nd.signatures
+    monkeypatch.setattr(nd, "signatures", lambda docs: original(docs).withColumn("class", F.pmod(F.col("class"), F.lit(8))))
+    check(spark, corpus(4))
+
+
+def test_measured_recall_near_the_limit(spark):
+    """600 pairs with similarities from 0.75 to 0.8, far more than 32 shingles each: all are found."""
+    rng, rows, linked = random.Random(5), [], 0
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while linked < 600:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 400))]
+        b = list(a)
+        for at in rng.sample(range(len(b)), len(b) // 40 + 1):
+            b[at] = f"w{rng.randrange(10**6)}"
+        x, y = shingles(a), shingles(b)
+        if 0.75 <= len(x & y) / len(x | y) <= 0.8:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+            linked += 1
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(linked)) == linked
