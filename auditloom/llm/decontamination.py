@@ -25,16 +25,28 @@ from .common import low, store, table, word_count, words
 #: Separators: everything in ASCII but digits and letters (already in lower case).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Lists of terms up to this many rows are sent to the executors; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Lists of terms or windows up to this many bytes are sent to the executors; longer ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: A term's list is dealt to this many tasks where it is shuffled.
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
     return words(low(text), GAP)
 
 
-def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= bound else df
+def _fits(df: DataFrame, text: Column) -> bool:
+    """Whether df may be sent: the bytes of text, and for each row what an object of the join costs."""
+    return (df.agg(F.sum(F.octet_length(text) + 100)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _joined_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """postings (term, pos, ..) whose term is in terms (distinct). Shuffled, each term's postings are
+    dealt by their position, so that a frequent one is no single task's."""
+    if _fits(terms, F.col("term")):
+        return postings.join(F.broadcast(terms), "term")
+    dealt = terms.select("term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return postings.withColumn("salt", F.pmod(F.col("pos"), F.lit(SALTS))).join(dealt, ["term", "salt"]).drop("salt")
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -47,7 +59,11 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def keyed(corpus: DataFrame, wins: DataFrame) -> DataFrame:
     """windows with term, off: the term that the corpus has least often, and its place."""
     terms = store(wins.select(F.explode("w").alias("term")).distinct(), "leak-terms")
-    seen = corpus.select(F.explode(tokens(F.col("text"))).alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    every = corpus.select(F.explode(tokens(F.col("text"))).alias("term"))
+    if _fits(terms, F.col("term")):
+        seen = every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    else:  # counted before the shuffle
+        seen = every.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
     seen = store(seen, "leak-frequencies")
     each = wins.select("w", F.posexplode("w").alias("off", "term")).join(seen, "term")
     # A window with a term that the corpus lacks has no match: the inner join leaves it short.
@@ -57,17 +73,27 @@ def keyed(corpus: DataFrame, wins: DataFrame) -> DataFrame:
 
 def index(corpus: DataFrame, keys: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
     """Postings of the key terms: doc_id, h (hash of the text), term, pos, low, near.
-    near has the words from position low on, `reach` to either side of pos."""
+    near has the words from position low on, `reach` to either side of pos. Places are found
+    first, without the text; it is cut at these places alone."""
+    terms = keys.select("term").distinct()
     t = corpus.select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("t"))
-    hit = t.select("doc_id", "h", "t", F.posexplode("t").alias("pos", "term")).join(_small(keys.select("term").distinct()), "term")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    return hit.select("doc_id", "h", "term", "pos", first.alias("low"), F.slice("t", first + 1, 2 * reach + 1).alias("near"))
+    first = lambda pos: F.greatest(pos - reach, F.lit(0))
+    if _fits(terms, F.col("term")):
+        # In one stage, where a row refers to its text and does not copy it.
+        hit = t.select("doc_id", "h", "t", F.posexplode("t").alias("pos", "term")).join(F.broadcast(terms), "term")
+        return hit.select("doc_id", "h", "term", "pos", first(F.col("pos")).alias("low"), F.slice("t", first(F.col("pos")) + 1, 2 * reach + 1).alias("near"))
+    places = _joined_terms(t.select("doc_id", "h", F.posexplode("t").alias("pos", "term")), terms)
+    places = places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "term")).alias("at")).alias("p")  # bounded by a text's words
+    met = t.alias("d").join(places, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.h") == F.col("p.h")))
+    cut = F.transform("at", lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos"), first(x["pos"]).alias("low"), F.slice("t", first(x["pos"]) + 1, 2 * reach + 1).alias("near")))
+    return met.select("d.doc_id", "d.h", F.explode(cut).alias("c")).select("doc_id", "h", "c.term", "c.pos", "c.low", "c.near")
 
 
 def matches(postings: DataFrame, keys: DataFrame, slop: int | None = None) -> DataFrame:
     """doc_id, h, start, n, w, item_ids for each match. slop None: exact phrases; else every
-    window whose terms all lie within its length plus slop words around the posting."""
-    p, k = postings.alias("p"), _small(keys).alias("k")
+    window whose terms all lie within its length plus slop words around the posting, for which
+    the index must reach that far (found_in takes care of it)."""
+    p, k = postings.alias("p"), (F.broadcast(keys) if _fits(keys, F.array_join("w", " ")) else keys).alias("k")
     same = F.col("p.term") == F.col("k.term")
     if slop is None:
         start = F.col("pos") - F.col("off")
@@ -80,11 +106,12 @@ def matches(postings: DataFrame, keys: DataFrame, slop: int | None = None) -> Da
     return p.join(k, same & fits).select("doc_id", "h", start.alias("start"), F.size("w").alias("n"), "w", "item_ids")
 
 
-def found_in(corpus: DataFrame, items: DataFrame) -> DataFrame:
-    """All exact matches of the items' windows in corpus (doc_id, text)."""
+def found_in(corpus: DataFrame, items: DataFrame, slop: int | None = None) -> DataFrame:
+    """All exact matches of the items' windows in corpus (doc_id, text); with a slop, all
+    proximity matches: spans of a window's length plus slop words that have all its terms."""
     wins = store(windows(items), "leak-windows")
     keys = store(keyed(corpus, wins), "leak-keys")
-    return matches(store(index(corpus, keys), "leak-index"), keys)
+    return matches(store(index(corpus, keys, WINDOW - 1 + (slop or 0)), "leak-index"), keys, slop)
 
 
 def report(corpus: DataFrame, items: DataFrame) -> DataFrame:
