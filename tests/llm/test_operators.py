@@ -317,6 +317,20 @@ def test_expected_copies_stay(spark):
     assert mean == pytest.approx(share, abs=0.02) and len({tuple(sorted(r.items())) for r in runs}) > 1
 
 
+def test_very_many_equal_rows(spark):
+    """100,000 equal rows, a third of them without an id: no group grows with them, and targets are met."""
+    hot = spark.range(100_000).select(F.when(F.col("id") % 3 > 0, 7).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.lit(10).alias("size"))
+    df = hot.unionByName(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(10).alias("size")))
+    out = mixing.mix(df, mark=None)
+    got = out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"hot": 100_000, "b": 20_000} and all(abs(r["taken"] - r["target"]) <= 5 for r in got)
+    rows = df.groupBy("doc_id", "source", "size").count().withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
+    buckets = rows.groupBy("source", F.pmod(F.xxhash64(F.lit(17), "doc_id", "size", F.lit(0).cast("long"), F.col("k").cast("long")), F.lit(782))).count()
+    assert buckets.agg(F.max("count")).first()[0] < 300
+    key = lambda r: (str(r["doc_id"]), r["source"], r["copies"])
+    assert sorted(map(key, out.collect())) == sorted(map(key, mixing.mix(df.repartition(5)).collect()))
+
+
 def test_empty_mix(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long")).count() == 0
 
