@@ -8,7 +8,6 @@ that the mix takes several times stands there as often.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.llm import compression_quality, decontamination, mixing, near_dedup, surrogates
@@ -62,17 +61,16 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sized = docs.withColumn("_al_size", word_count(F.col("text")))
-    plan = mixing.mix(sized.select("doc_id", "source", F.col("_al_size").alias("size")))
-    per = plan.groupBy("doc_id", "size", "source").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("c")).filter(F.get("c", F.lit(0)) > 0)
+    sized = docs.withColumns({"_al_size": word_count(F.col("text")), "_al_mark": F.xxhash64("text")})
+    plan = mixing.mix(sized.select("doc_id", "source", F.col("_al_size").alias("size"), "_al_mark"), mark="_al_mark")
+    # Rows of one id, source and text are one document, which stands for all of them.
+    per = plan.groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias("c"), F.count("*").alias("rows")).filter("c > 0")
     per = _keys(per, "mix-plan").alias("p")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._al_size") == F.col("p.size")) & F.col("d.source").eqNullSafe(F.col("p.source"))
-    met = sized.alias("d").join(per, same).select("d.*", F.col("p.c").alias("_al_c"))
-    # Rows that share id, size and source take the planned copies in turn.
-    turn = F.row_number().over(W.partitionBy("doc_id", "_al_size", "source").orderBy(F.xxhash64("text")))
-    several = met.filter(F.size("_al_c") > 1).withColumn("_al_copies", F.coalesce(F.get("_al_c", turn - 1), F.lit(0).cast("long")))
-    out = met.filter(F.size("_al_c") == 1).withColumn("_al_copies", F.get("_al_c", F.lit(0))).unionByName(several).filter("_al_copies > 0")
-    return out.select(*_names(docs, "copy"), F.explode(F.sequence(F.lit(1), F.col("_al_copies").cast("int"))).alias("copy"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._al_mark") == F.col("p.mark")) & F.col("d.source").eqNullSafe(F.col("p.source"))
+    met = sized.alias("d").join(per, same).select("d.*", F.col("p.c").alias("_al_c"), F.col("p.rows").alias("_al_rows"))
+    several = met.filter("_al_rows > 1").dropDuplicates(["doc_id", "source", "_al_mark"])
+    out = met.filter("_al_rows = 1").unionByName(several)
+    return out.select(*_names(docs, "copy"), F.explode(F.sequence(F.lit(1), F.col("_al_c").cast("int"))).alias("copy"))
 
 
 STAGES = [("quality classifier", quality), ("near-duplicates", near_dedup_stage), ("benchmark decontamination", decontaminate), ("personal data", private_data), ("mixing", mix)]
