@@ -8,7 +8,7 @@ a context with many followers is dealt over all of them. Each range's sums by co
 by word meet in ranges of these numbers. (3) Workers map these files into memory, look the words and bigrams of whole batches up
 by binary search, and score. Every task sums its own keys before the shuffle and sends
 each range as one compressed row, so a frequent word costs a range no more than a rare
-one. Files lie in the shared folder, are written under a temporary name and moved into
+one; a range is one task, which reads about what PART_MB of text amount to at any size. Files lie in the shared folder, are written under a temporary name and moved into
 place, so a lost executor's task can simply run again.
 
 P(w|u) = max(c(uw) - D, 0) / c(u) + g(u) * Pc(w), where Pc is the same form over the
@@ -142,19 +142,37 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.concatenate(hs), np.concatenate(ns)
 
 
-#: Sorted keys and columns of counts of one range; sums: what they belong to.
-_COUNTED = "sums string, part int, keys binary, counts array<binary>"
+#: Sorted keys and columns of counts of one range; seat: the number that the range is shuffled by.
+_COUNTED = "seat int, keys binary, counts array<binary>"
 
 
-def _by_range(sums: str, parts: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> list[tuple]:
-    """One row for each range; parts: the range of each key, ascending."""
+def seats(spark: SparkSession, n: int) -> list[int]:
+    """For each k under n a number that Spark's hash partitioning into n puts into partition k, so
+    that n ranges are n tasks, one each, and none reads several."""
+    found: dict[int, int] = {}
+    upto = 0
+    while len(found) < n:
+        some = spark.range(upto, upto + 16 * n, 1, 1).select(F.col("id").cast("int").alias("x")).select("x", F.pmod(F.hash("x"), F.lit(n)).alias("k"))
+        for r in some.groupBy("k").agg(F.min("x").alias("x")).collect():  # at most n
+            found.setdefault(r["k"], r["x"])
+        upto += 16 * n
+    return [found[k] for k in range(n)]
+
+
+def _by_range(seat: list[int], parts: np.ndarray, keys: np.ndarray, *counts: np.ndarray) -> list[tuple]:
+    """One row for each range; parts: the range of each key, ascending; seat: the ranges' numbers."""
     cuts = np.flatnonzero(np.diff(parts, prepend=-1))
-    return [(sums, int(parts[a]), _pack_sorted(keys[a:b]), [_pack(c[a:b].astype(np.int64)) for c in counts]) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+    return [(seat[int(parts[a])], _pack_sorted(keys[a:b]), [_pack(c[a:b].astype(np.int64)) for c in counts]) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["sums", "part", "keys", "counts"])
+    kinds = (pa.int32(), pa.binary(), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["seat", "keys", "counts"])
+
+
+def _least(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
 
 
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -242,6 +260,10 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     docs = docs.select(F.col(text).alias("text"))
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-letters // (PART_MB << 20)))
+    seat = seats(spark, parts)
+    place = {x: k for k, x in enumerate(seat)}
+    seat2 = seats(spark, 2 * parts)  # contexts, then words
+    place2 = {x: k for k, x in enumerate(seat2)}
 
     def words_of(batches):
         tally = _Tally()
@@ -249,15 +271,15 @@ def train(docs: DataFrame, text: str = "text") -> dict:
             tally.add(h)
         k, c = tally.total()
         if len(k):
-            yield _batch(_by_range("vocab", _hash_range(k, parts), k, c))
+            yield _batch(_by_range(seat, _hash_range(k, parts), k, c))
 
     def vocab_range(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["part"].iloc[0])
+        p = place[int(pdf["seat"].iloc[0])]
         k, c = _merged(pdf)
-        _save(f"{folder}/vocab-{p:05d}", {"keys": k, "counts": c})
+        _save(f"{folder}/vocab-{p:05d}", {"keys": k, "counts": _least(c)})
         return pd.DataFrame({"part": [p], "n": [len(k)], "total": [int(c.sum())]})
 
-    done = store(docs.mapInArrow(words_of, _COUNTED).groupBy("part").applyInPandas(vocab_range, "part int, n long, total long"), "lm-vocab")
+    done = store(docs.mapInArrow(words_of, _COUNTED).repartition(parts, "seat").groupBy("seat").applyInPandas(vocab_range, "part int, n long, total long"), "lm-vocab")
     rows = done.collect()  # one for each range of hashes
     sizes = [0] * parts
     for r in rows:
@@ -272,32 +294,33 @@ def train(docs: DataFrame, text: str = "text") -> dict:
             tally.add(wordhash.mix(_pairs(_ids(vocab, h), n, size)))
         k, c = tally.total()
         if len(k):
-            yield _batch(_by_range("bigram", _hash_range(k, parts), k, c))
+            yield _batch(_by_range(seat, _hash_range(k, parts), k, c))
 
     def bigram_range(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["part"].iloc[0])
+        p = place[int(pdf["seat"].iloc[0])]
         k, c = _merged(pdf)
-        _save(f"{folder}/bigram-{p:05d}", {"keys": k, "counts": c.astype(np.uint32)})
+        _save(f"{folder}/bigram-{p:05d}", {"keys": k, "counts": _least(c)})
         pairs, one = _unmix(k), np.ones(len(k), np.int64)
         number = lambda x: (x * np.uint64(parts) // np.uint64(size + 1)).astype(np.int64)
         u, *sums = _summed(pairs >> np.uint64(32), c, c == 1, c == 2, c >= 3)
         w, before = _summed(pairs & np.uint64(0xFFFFFFFF), one)
-        out = pd.DataFrame([*_by_range("context", number(u), u, *sums), *_by_range("before", number(w), w, before)], columns=["sums", "part", "keys", "counts"])
+        out = pd.DataFrame([*_by_range(seat2, number(u), u, *sums), *_by_range(seat2[parts:], number(w), w, before)], columns=["seat", "keys", "counts"])
         return out.assign(range=p, n=len(k), four=[_four(c)] * len(out))
 
-    met = store(docs.mapInArrow(bigrams_of, _COUNTED).groupBy("part").applyInPandas(bigram_range, f"{_COUNTED}, range int, n long, four array<long>"), "lm-bigrams")
+    met = store(docs.mapInArrow(bigrams_of, _COUNTED).repartition(parts, "seat").groupBy("seat").applyInPandas(bigram_range, f"{_COUNTED}, range int, n long, four array<long>"), "lm-bigrams")
     pairs, four = [0] * parts, np.zeros(4, np.int64)
     for r in met.select("range", "n", "four").distinct().collect():  # one for each range of bigrams
         pairs[r["range"]] = r["n"]
         four += np.array(r["four"])
 
     def number_range(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, kind = int(pdf["part"].iloc[0]), pdf["sums"].iloc[0]
+        kind, p = divmod(place2[int(pdf["seat"].iloc[0])], parts)
+        kind = ("context", "before")[kind]
         k, n, *rest = _merged(pdf)
-        _save(f"{folder}/{kind}-{p:05d}", {"keys": k, "counts": n, **dict(zip(("one", "two", "more"), rest))})
+        _save(f"{folder}/{kind}-{p:05d}", {"keys": k, "counts": _least(n), **{name: _least(x) for name, x in zip(("one", "two", "more"), rest)}})
         return pd.DataFrame({"sums": [kind], "part": [p], "n": [len(k)], "more": [int((n >= 3).sum())], "four": [_four(n)]})
 
-    rows = store(met.groupBy("sums", "part").applyInPandas(number_range, "sums string, part int, n long, more long, four array<long>"), "lm-sums").collect()
+    rows = store(met.select("seat", "keys", "counts").repartition(2 * parts, "seat").groupBy("seat").applyInPandas(number_range, "sums string, part int, n long, more long, four array<long>"), "lm-sums").collect()
     found = {"context": [0] * parts, "before": [0] * parts}
     low, more = np.zeros(4, np.int64), 0
     for r in rows:
