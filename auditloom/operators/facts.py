@@ -185,8 +185,8 @@ def validation_errors(sources: DataFrame) -> DataFrame:
                 try:
                     base = p.rsplit("/", 1)[0] + "/" if "/" in p else ""
                     for r in manifests.check_source(p, t):
-                        rest = [x for x in r.lstrip("?").split("/") if x not in ("", ".")]
-                        rows.append((p, None, base + "/".join(rest), r.startswith("?")))
+                        rest = [x for x in r.path.split("/") if x not in ("", ".")]
+                        rows.append((p, None, base + "/".join(rest), r.folder))
                 except Exception as e:  # whatever a parser raises is a reason to fail the scan
                     rows.append((p, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300], None, None))
             yield pd.DataFrame(rows, columns=["path", "error", "reference", "folder"])

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.functions import cfg, ed25519, manifests, pyfacts, taint
+from auditloom.functions import cfg, ed25519, manifests, pyfacts, requirements, taint
 from auditloom.functions.text import finding_hash, java_regex, json_string, lines, suppressed
 from auditloom.operators import facts as ft
 from auditloom.operators import findings as fd
@@ -117,13 +117,13 @@ def test_aliases_and_scopes():
 
 @pytest.mark.parametrize("line", ["a", "a[b,c]>=1,<2", "a @ https://x/y", "a; python_version < '3.9' and extra == 'x'", "-r other.txt", "-e .", "--pre", "--index-url=https://x", "git+https://h/r#egg=a", "a==1 --hash=sha256:ab", "", "# x"])
 def test_requirement_lines_accepted(line):
-    manifests.check_requirements_line(line)
+    requirements.line(line)
 
 
 @pytest.mark.parametrize("line", ["-r ../x.txt", "-r /x", "--pre yes", "--what", "a >> 1", "a; os.system('x')", "a; nothing == '1'", "a==1 --hash=md5:ab", "!a", "--index-url"])
 def test_requirement_lines_rejected(line):
     with pytest.raises((ValueError, SyntaxError)):
-        manifests.check_requirements_line(line)
+        requirements.line(line)
 
 
 BAD = [("a.py", "def f(:"), ("b.py", "x\0"), ("pyproject.toml", "[project]\ndependencies = 'x'"), ("uv.lock", "[[package]]\nversion = '1'"), ("Pipfile.lock", '{"default": {}, "default": {}}'), ("Pipfile", "packages = 1"), ("compose.yml", "services: [1]"), ("compose.yml", "services:\n  a:\n    privileged: 'yes'"), ("compose.yml", "a: 1\na: 2\nservices: {}"), ("requirements.txt", "-r missing.txt")]
