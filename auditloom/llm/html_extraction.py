@@ -156,19 +156,18 @@ class _References:
         return i, self.get(sources[i])
 
 
-def slots_of(page: Node, reference: _Reference) -> tuple[dict[int, tuple[int, str]], dict[int, Node]]:
-    """For elements of page with text of their own: by identity, slot and text; and the page's
-    element for each slot."""
+def aligned(page: Node, reference: _Reference) -> dict[int, Node]:
+    """The page's element for each slot."""
     found: dict[int, Node] = {}
     match(page, reference.tree, found)
-    texts, at = {}, {}
-    for x in _elements(page):
-        if id(x) in found:
-            slot = reference.places[id(found[id(x)])]
-            at[slot] = x
-            if x.tag not in RAW and (t := _own_text(x)):
-                texts[id(x)] = slot, t
-    return texts, at
+    return {reference.places[id(found[id(x)])]: x for x in _elements(page) if id(x) in found}
+
+
+def slot_texts(elements: dict[int, Node]) -> Iterator[tuple[int, Node, str]]:
+    """slot, element, text for the aligned elements that have text of their own."""
+    for slot, x in elements.items():
+        if x.tag not in RAW and (t := _own_text(x)):
+            yield slot, x, t
 
 
 def region(reference: _Reference, weights: dict[int, float]) -> int:
@@ -277,7 +276,7 @@ def slot_counts(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> D
                     tree, digest = parse(page), _hash(page)
                     k, reference = trees.best(tree, refs)
                     seen.append((host, digest, k, -1, 0, 1))
-                    seen.extend((host, digest, k, slot, _hash(t), len(t.split())) for slot, t in slots_of(tree, reference)[0].values())
+                    seen.extend((host, digest, k, slot, _hash(t), t.count(" ") + 1) for slot, _, t in slot_texts(aligned(tree, reference)))
             kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], kind) for i, kind in enumerate(kinds)], names=["host", "digest", "ref", "slot", "th", "words"])
 
@@ -324,8 +323,9 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE, marks: b
                         made[host, k] = _Wrapper(reference, [s for s in batch.column(5)[at].as_py() or () if s["ref"] == k], least)
                     wrapper = made[host, k]
                     if wrapper.region is not None:
-                        own, elements = slots_of(tree, reference)
-                        constant = {x for x, (slot, t) in own.items() if slot in wrapper.fixed and wrapper.fixed[slot] == _hash(t)}
+                        elements = aligned(tree, reference)
+                        some = {slot: x for slot, x in elements.items() if slot in wrapper.fixed}
+                        constant = {id(x) for slot, x, t in slot_texts(some) if wrapper.fixed[slot] == _hash(t)}
                         chosen = elements.get(wrapper.region)
                 tops = content(tree, chosen, marks)
                 texts.append(main_text(tree, set() if constant and _no_template(tops, constant) else constant, tops, marks))
