@@ -31,10 +31,19 @@ def first_of_each(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def in_order(found: DataFrame) -> DataFrame:
+def path_key(path: Column) -> Column:
+    """What paths are ordered by: their parts."""
+    return F.split(path, "/")
+
+
+def report_order() -> list[Column]:
     """Files by path parts, then the order in which engines report."""
     late = F.when(F.col("engine").isin(1, 4), F.col("start_line")).otherwise(0)
-    return found.orderBy(F.split("path", "/"), "engine", late, F.when(F.col("engine") == 1, F.col("id")), "rule_ord", "pattern_ord", "ord")
+    return [path_key(F.col("path")), F.col("engine"), late, F.when(F.col("engine") == 1, F.col("id")), F.col("rule_ord"), F.col("pattern_ord"), F.col("ord")]
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    return found.orderBy(*report_order())
 
 
 def counts_by(found: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -111,8 +120,31 @@ def detection_quality(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return n.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
+_SARIF = "struct<runs:array<struct<results:array<struct<ruleId:string>>,invocations:array<struct<executionSuccessful:boolean>>>>>"
+
+
+def sarif_counts(logs: DataFrame, *keys: str) -> DataFrame:
+    """logs: keys, sarif. keys, findings_count, completed: results of all runs, and whether every run
+    says that it succeeded. A log that is none, or has no run, is not completed."""
+    runs = F.from_json("sarif", _SARIF)["runs"]
+    n = F.aggregate(runs, F.lit(0), lambda a, r: a + F.greatest(F.size(r["results"]), F.lit(0)))
+    ok = (F.size(runs) > 0) & F.forall(runs, lambda r: (F.size(r["invocations"]) > 0) & F.forall(r["invocations"], lambda i: F.coalesce(i["executionSuccessful"], F.lit(False))))
+    return logs.select(*keys, F.coalesce(n, F.lit(0)).alias("findings_count"), F.coalesce(ok, F.lit(False)).alias("completed"))
+
+
+def ci_outputs(spark: SparkSession, code: int, sarif: str | None = None, form: str = "sarif") -> dict[str, str]:
+    """What a build step publishes of a scan that ended with code (0 or 1; others are errors):
+    scan_status, findings_count and sarif_ready. Only a complete SARIF log tells the count."""
+    failed = {"scan_status": "error", "findings_count": "", "sarif_ready": "false"}
+    if code not in (0, 1):
+        return failed
+    if form != "sarif":
+        return {**failed, "scan_status": ("completed", "violations_found")[code]}
+    n, complete = sarif_counts(spark.createDataFrame([(sarif,)], "sarif string")).first()
+    if not complete or code and not n:
+        return failed
+    return {"scan_status": "violations_found" if n else "no_findings", "findings_count": str(n), "sarif_ready": "true"}
+
+
 def result_counts(spark: SparkSession, sarif: str) -> dict:
-    """What a build step reads from a SARIF log: number of results, and whether all runs succeeded."""
-    row = spark.createDataFrame([(sarif,)], "j string").select(F.explode(F.from_json("j", "struct<runs:array<struct<results:array<struct<ruleId:string>>,invocations:array<struct<executionSuccessful:boolean>>>>>")["runs"]).alias("r"))
-    out = row.agg(F.sum(F.size("r.results")).alias("n"), F.bool_and(F.forall("r.invocations", lambda i: i["executionSuccessful"])).alias("ok")).first()
-    return {"findings_count": out["n"] or 0, "completed": bool(out["ok"])}
+    return sarif_counts(spark.createDataFrame([(sarif,)], "sarif string")).first().asDict()

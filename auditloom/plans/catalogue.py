@@ -8,6 +8,7 @@ from whole tables by arithmetic, so that SQL can say the same independently.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import excluded, finding_hash, java_regex, lines, suppressed
@@ -119,15 +120,14 @@ def suppression_tokens(spark, sf_dir):
 @query(r"""WITH r(rule_id, article) AS (VALUES """ + ", ".join("('{}', '{}')".format(r["id"], r["article"]) for r in _RULES.rules) + r"""), a AS (SELECT rule_id, unnest(regexp_extract_all(rule_id || ' ' || article, '(?i)art(?:icle)?\.?\s*(\d+)', 1)) n FROM r)
 SELECT DISTINCT rule_id, ltrim(n, '0') AS article_number FROM a""")
 def active_rules_by_article(spark, sf_dir):
-    table = rl.rules_table(spark, _RULES)
-    found = F.regexp_extract_all(F.concat("rule_id", F.lit(" "), "article"), F.lit(r"(?i)art(?:icle)?\.?\s*(\d+)"), F.lit(1))
-    return table.select("rule_id", F.explode(F.transform(found, lambda n: F.regexp_replace(n, "^0+", ""))).alias("article_number")).distinct()
+    """Every article that some rule names, by the selection that a scan makes."""
+    rows = [(r, str(n)) for n in range(1, 100) for r in _RULES.for_articles([f"Art. {n:02}"]).ids()]
+    return spark.createDataFrame(rows, "rule_id string, article_number string")
 
 
 @query("WITH r(rule_id) AS (VALUES " + ", ".join(f"('{x}')" for x in _RULES.ids()) + ") SELECT rule_id FROM r WHERE rule_id NOT IN ('GDPR-ART05-001', 'EUAIA-ART12-001')")
 def rules_without_ignored(spark, sf_dir):
-    ignored = spark.createDataFrame([("GDPR-ART05-001",), ("EUAIA-ART12-001",)], "rule_id string")
-    return rl.rules_table(spark, _RULES).select("rule_id").join(ignored, "rule_id", "left_anti")
+    return rl.rules_table(spark, _RULES.without([" gdpr-art05-001", "EUAIA-ART12-001"])).select("rule_id")
 
 
 # -- code: facts and joins against labels -----------------------------------
@@ -259,11 +259,11 @@ _STATES = "CASE {} WHEN 0 THEN 'clean' WHEN 1 THEN 'human_gated' WHEN 2 THEN 'sa
 
 @query(f"SELECT doc_id, {_WORSE} AS state FROM (SELECT doc_id, {_STATES.format('doc_id % 4')} a, {_STATES.format('(doc_id // 4) % 4')} b FROM documents)")
 def lattice_join_table(spark, sf_dir):
-    from ..functions.taint import LATTICE
+    from ..functions.taint import LATTICE, worse_column
 
     order = F.array(*[F.lit(s) for s in LATTICE])
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.get(order, F.pmod("doc_id", F.lit(4)).cast("int")).alias("a"), F.get(order, F.pmod(F.floor(F.col("doc_id") / 4), F.lit(4)).cast("int")).alias("b"))
-    return d.select("doc_id", F.get(order, F.greatest(F.array_position(order, F.col("a")), F.array_position(order, F.col("b"))).cast("int") - 1).alias("state"))
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", worse_column(F.get(order, F.pmod("doc_id", F.lit(4)).cast("int")), F.get(order, F.pmod(F.floor(F.col("doc_id") / 4), F.lit(4)).cast("int"))).alias("state"))
 
 
 # -- findings: identity, dedup, roll-ups ------------------------------------
@@ -359,19 +359,22 @@ def changed_files(spark, sf_dir):
     return fd.changed_files(d.filter("doc_id % 4 <> 2"), old).select(F.col("path").cast("long").alias("doc_id"), "change")
 
 
-@query("SELECT doc_id, (p LIKE 'tests/%' OR p LIKE '%/tests/%' OR p LIKE 'docs/%' OR p LIKE '%/docs/%') AS excluded FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'tests/a/b.py' WHEN 1 THEN 'src/docs/x.md' WHEN 2 THEN 'src/tests.py' WHEN 3 THEN 'mytests/a.py' ELSE 'src/a.py' END p FROM documents)")
+#: Paths of two to four parts by arithmetic, for both dialects.
+_PATH = ("CASE doc_id % 6 WHEN 0 THEN 'tests' WHEN 1 THEN 'src' WHEN 2 THEN 'a' WHEN 3 THEN 'a-b' WHEN 4 THEN 'docs' ELSE 'mytests' END || '/' || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'tests/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'build.d/' ELSE 'x/' END || "
+         "CASE doc_id % 7 WHEN 0 THEN 'B' WHEN 1 THEN '_m' WHEN 2 THEN 'tests' ELSE 'f' END || CAST(doc_id % 11 AS STRING) || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.env' WHEN 2 THEN '.log' ELSE '.min.js' END")
+_GLOBS = ["tests/**", "docs/**", "*.log", "src/?7.py", "a/[!f]*", "x/f[0-3].env"]
+
+
+@query(f"SELECT doc_id, list_bool_or([p GLOB g OR p GLOB ('*/' || g) OR (p || '/') GLOB g OR (p || '/') GLOB ('*/' || g) FOR g IN {[g.replace('**', '*') for g in _GLOBS]}]) AS excluded FROM (SELECT doc_id, {_PATH} p FROM documents)")
 def glob_exclusions(spark, sf_dir):
-    p = F.expr("CASE doc_id % 5 WHEN 0 THEN 'tests/a/b.py' WHEN 1 THEN 'src/docs/x.md' WHEN 2 THEN 'src/tests.py' WHEN 3 THEN 'mytests/a.py' ELSE 'src/a.py' END")
-    return _table(spark, sf_dir, "documents").select("doc_id", excluded(p, ["tests/**", "docs/**"]).alias("excluded"))
+    return _table(spark, sf_dir, "documents").select("doc_id", excluded(F.expr(_PATH), _GLOBS).alias("excluded"))
 
 
-@query("SELECT doc_id, sum(CASE WHEN b.path < a.path THEN 1 ELSE 0 END)::BIGINT AS place FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['a', 'b.py'] WHEN 1 THEN ['a.py'] WHEN 2 THEN ['a-b', 'c.py'] ELSE ['a', 'a.py'] END path FROM documents) a CROSS JOIN (VALUES (['a', 'b.py']), (['a.py']), (['a-b', 'c.py']), (['a', 'a.py'])) b(path) GROUP BY doc_id")
+@query(f"SELECT doc_id, p AS path, (row_number() OVER (PARTITION BY doc_id % 7 ORDER BY string_split(p, '/'), doc_id))::INTEGER AS place FROM (SELECT doc_id, {_PATH} p FROM documents)")
 def path_order(spark, sf_dir):
-    """Paths in order of their parts: a/a.py, a/b.py, a-b/c.py, a.py."""
-    names = ["a/b.py", "a.py", "a-b/c.py", "a/a.py"]
-    ordered = [r[0] for r in spark.createDataFrame([(n,) for n in names], "path string").orderBy(F.split("path", "/")).collect()]
-    p = F.get(F.array(*[F.lit(n) for n in names]), F.pmod("doc_id", F.lit(4)).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", (F.array_position(F.array(*[F.lit(n) for n in ordered]), p) - 1).alias("place"))
+    """Paths in the order of their parts, as reports have them."""
+    p = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"))
+    return p.withColumn("place", F.row_number().over(W.partitionBy(F.col("doc_id") % 7).orderBy(fd.path_key(F.col("path")), "doc_id")))
 
 
 @query("SELECT tp, fp, tn, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM (SELECT count(*) FILTER (e AND h) tp, count(*) FILTER (NOT e AND h) fp, count(*) FILTER (NOT e AND NOT h) tn, count(*) FILTER (e AND NOT h) fn FROM (SELECT doc_id % 2 = 0 AS e, doc_id % 3 <> 0 AS h FROM documents))".replace("2.0 * tp / (2 * tp + fp + fn)", "2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / ((tp / (tp + fp)::DOUBLE) + (tp / (tp + fn)::DOUBLE))"))
