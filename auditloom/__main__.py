@@ -1,4 +1,4 @@
-"""Command line: scan, docgen, assess, keygen and verify.
+"""Command line: scan, docgen, assess, keygen, verify and ui.
 
     python -m auditloom scan PATH [--format sarif] [--output F] [--articles 5 14] [--fail-on high_risk]
 
@@ -42,8 +42,11 @@ def _parser() -> argparse.ArgumentParser:
     scan.add_argument("--signer", default="")
     docgen.add_argument("--system", default="AI system")
     docgen.add_argument("--version", default="1.0.0")
-    a = sub.add_parser("assess", help="answers as a JSON object")
-    a.add_argument("answers", type=Path)
+    a = sub.add_parser("assess", help="answers as a JSON object; without a file they are asked for")
+    a.add_argument("answers", type=Path, nargs="?")
+    u = sub.add_parser("ui", help="console over HTTP on this machine")
+    u.add_argument("path", nargs="?", default=".")
+    u.add_argument("--port", type=int, default=8765)
     k = sub.add_parser("keygen")
     k.add_argument("folder", type=Path)
     k.add_argument("name")
@@ -78,16 +81,26 @@ def _scan(args) -> int:
 
 
 def _assess(args) -> int:
-    from .operators import assess as asm
+    from .plans import console
 
-    answers = json.loads(args.answers.read_text(encoding="utf-8"))
-    row = (answers.get("intended_purpose", ""), answers.get("role", "unknown"), *(answers.get(a) for a in asm.ANSWERS))
-    schema = "intended_purpose string, role string, " + ", ".join(f"{a} boolean" for a in asm.ANSWERS)
-    out = asm.assess(_session().createDataFrame([row], schema)).first().asDict()
-    print(json.dumps({k: v for k, v in out.items() if k not in asm.ANSWERS}, indent=2))
+    if args.answers is None:
+        print(console.to_text(console.assessed(_session(), console.asked(input))))
+    else:
+        print(json.dumps(console.assessed(_session(), json.loads(args.answers.read_text(encoding="utf-8"))), indent=2))
     return 0
 
 
+def _ui(args) -> int:
+    from .plans import console
+
+    with console.serve(console.Console(_session(), args.path), args.port) as server:
+        print(f"http://127.0.0.1:{server.server_address[1]}/")
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
@@ -95,6 +108,8 @@ def main(argv: list[str] | None = None) -> int:
             return _scan(args)
         if args.command == "assess":
             return _assess(args)
+        if args.command == "ui":
+            return _ui(args)
         from .plans import evidence
 
         if args.command == "keygen":

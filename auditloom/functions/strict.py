@@ -26,6 +26,10 @@ def load_json(text: str) -> object:
     return json.loads(text, object_pairs_hook=unique_pairs, parse_constant=never)
 
 
+def yaml_errors() -> type[Exception]:
+    return yaml.YAMLError if yaml is not None else RuntimeError
+
+
 def _loader():
     if yaml is None:
         raise RuntimeError("YAML input needs PyYAML")

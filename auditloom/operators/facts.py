@@ -111,26 +111,30 @@ def requirement_packages(sources: DataFrame) -> DataFrame:
 
 
 def declared_packages(sources: DataFrame) -> DataFrame:
-    """path, kind, package, written of pyproject, uv.lock and Pipfile files."""
+    """path, kind, package, written, text of pyproject, uv.lock and Pipfile files; the text goes along, so
+    that nobody has to join it back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, manifests.kind_of(p), a, b) for p, t in zip(frame["path"], frame["text"]) for a, b in manifests.declared(p, t)]
-            yield pd.DataFrame(rows, columns=["path", "kind", "package", "written"])
+            rows = [(p, manifests.kind_of(p), manifests.declared(p, t), t) for p, t in zip(frame["path"], frame["text"])]
+            yield pd.DataFrame([(p, k, [{"package": a, "written": b} for a, b in d], t) for p, k, d, t in rows], columns=["path", "kind", "declared", "text"])
 
     only = sources.select("path", "text").filter(kind(F.col("path")).isin("pyproject", "uvlock", "pipfile"))
-    return only.mapInPandas(run, "path string, kind string, package string, written string")
+    files = only.mapInPandas(run, "path string, kind string, declared array<struct<package:string,written:string>>, text string")
+    return files.select("path", "kind", F.inline("declared"), "text")
 
 
 def compose_services(sources: DataFrame) -> DataFrame:
-    """path, ord, service, privileged, user, ports of compose files."""
+    """path, ord, service, privileged, user, ports, text of compose files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, i, s["name"], s["privileged"], s["user"], s["ports"]) for p, t in zip(frame["path"], frame["text"]) for i, s in enumerate(manifests.services(t))]
-            yield pd.DataFrame(rows, columns=["path", "ord", "service", "privileged", "user", "ports"])
+            rows = [(p, [{"service": s["name"], "privileged": s["privileged"], "user": s["user"], "ports": s["ports"]} for s in manifests.services(t)], t) for p, t in zip(frame["path"], frame["text"])]
+            yield pd.DataFrame(rows, columns=["path", "services", "text"])
 
-    return sources.select("path", "text").filter(kind(F.col("path")) == "compose").mapInPandas(run, "path string, ord int, service string, privileged boolean, user string, ports array<string>")
+    only = sources.select("path", "text").filter(kind(F.col("path")) == "compose")
+    files = only.mapInPandas(run, "path string, services array<struct<service:string,privileged:boolean,user:string,ports:array<string>>>, text string")
+    return files.select("path", F.posexplode("services").alias("ord", "s"), "text").select("path", "ord", "s.*", "text")
 
 
 _ASSIGN = r"([A-Za-z_][A-Za-z0-9_]*)=(\"[^\"]*\"|'[^']*'|\S*)"

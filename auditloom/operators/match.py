@@ -10,6 +10,7 @@ to the executors.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java_regex, lines, match_length, match_start, package_name, strip
-from ..plans.rules import Catalog
+from ..plans.rules import KNOWN_PATTERNS, Catalog
 from . import facts as ft
 
 FINDING = ["path", "engine", "rule_ord", "pattern_ord", "ord", "rule_id", "target", "start_line", "end_line", "start_col", "end_col", "snippet", "message", "steps"]
@@ -26,7 +27,8 @@ ENGINES = {"ast": 0, "flow": 1, "dependency": 2, "docker": 3, "regex": 4}
 PORTS = ("80", "8000", "5000", "8080")
 SECRET_NAMES = ("OPENAI_API_KEY", "ANTHROPIC_API_KEY", "HF_TOKEN", "AWS_SECRET_ACCESS_KEY")
 _STEPS = f"array<{ft._STEP}>"
-MATCH_BUDGET = 20_000
+#: Matches and seconds that text patterns may take for one file.
+MATCH_BUDGET, SECONDS = 20_000, 2.0
 
 
 def pattern_table(spark: SparkSession, catalog: Catalog, *types: str) -> DataFrame:
@@ -36,8 +38,8 @@ def pattern_table(spark: SparkSession, catalog: Catalog, *types: str) -> DataFra
     return spark.createDataFrame(rows, "rule_ord int, pattern_ord int, rule_id string, type string, pattern string, key string, package string, need array<struct<key:string,text:string,listed:boolean>>")
 
 
-def _finding(df: DataFrame, engine: str, message: Column) -> DataFrame:
-    df = df.withColumns({"engine": F.lit(ENGINES[engine]), "message": message})
+def _finding(df: DataFrame, engine: str, message: Column, number: Column | None = None) -> DataFrame:
+    df = df.withColumns({"engine": F.lit(ENGINES[engine]) if number is None else number, "message": message})
     if "steps" not in df.columns:
         df = df.withColumn("steps", F.lit(None).cast(_STEPS))
     return df.select(*FINDING)
@@ -66,21 +68,34 @@ def _arguments_fit() -> Column:
     return F.forall("need", one)
 
 
-def ast_findings(facts: DataFrame, catalog: Catalog) -> DataFrame:
-    """Imports, calls, assignments, definitions and calls without logging."""
-    spark = facts.sparkSession
-    table = pattern_table(spark, catalog, "ast_import", "ast_call", "ast_assignment", "ast_absence")
-    table = table.withColumn("kind", F.when(F.col("type") == "ast_import", "import").when(F.col("type") == "ast_assignment", "assign").otherwise("call"))
-    keys = F.when(F.col("kind") == "import", prefixes(F.col("name"))).when(F.col("kind") == "call", F.array_union(suffixes(F.col("name")), suffixes(F.col("spelling")))).otherwise(F.array(F.lower("name")))
-    keyed = facts.filter(F.col("kind").isin("import", "call", "assign")).withColumn("key", F.explode(F.array_distinct(keys)))
-    met = keyed.join(F.broadcast(table), ["kind", "key"]).filter(_arguments_fit() | F.col("type").isin("ast_import", "ast_absence")).filter((F.col("type") != "ast_absence") | ~F.col("logs"))
-    defs = pattern_table(spark, catalog, "ast_function_def")
-    theta = facts.filter("kind = 'def'").drop("key").join(F.broadcast(defs), F.contains(F.lower("name"), F.col("key")))
-    both = met.select(*FACTS_OUT, "pattern").unionByName(theta.select(*FACTS_OUT, "pattern"))
-    return _finding(both.withColumn("target", F.col("pattern")), "ast", _about("technical pattern '%s'"))
+AST = ("ast_import", "ast_call", "ast_assignment", "ast_absence", "ast_function_def")
+_KINDS = {"ast_import": "import", "ast_assignment": "assign", "ast_function_def": "def", "data_flow": "flow"}
+
+
+def python_findings(facts: DataFrame, catalog: Catalog, types: tuple[str, ...] = (*AST, "data_flow")) -> DataFrame:
+    """Imports, calls, assignments, definitions, calls without logging, and flows. One pass over the
+    facts and one join: a fact offers the keys by which patterns of its kind may be found."""
+    flows = {(i, j): n for n, (i, j, *_) in enumerate(catalog.patterns("data_flow"))}
+    table = pattern_table(facts.sparkSession, catalog, *types).withColumnRenamed("key", "wanted")
+    spec = F.create_map(*[F.lit(x) for (i, j), n in flows.items() for x in (f"{i}.{j}", str(n))]) if flows else F.lit(None).cast("map<string,string>")
+    kind = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])
+    table = table.select("*", F.coalesce(F.element_at(kind, F.col("type")), F.lit("call")).alias("kind"))
+    # Definitions are found by substring: all of their patterns have one key.
+    table = table.withColumn("key", F.when(F.col("kind") == "def", "").when(F.col("kind") == "flow", F.element_at(spec, F.concat_ws(".", "rule_ord", "pattern_ord"))).otherwise(F.col("wanted")))
+    name = F.lower("name")
+    keys = (F.when(F.col("kind") == "import", prefixes(F.col("name"))).when(F.col("kind") == "call", F.array_union(suffixes(F.col("name")), suffixes(F.col("spelling"))))
+            .when(F.col("kind") == "def", F.array(F.lit(""))).when(F.col("kind") == "flow", F.array(F.col("spec").cast("string"))).otherwise(F.array(name)))
+    met = facts.withColumn("key", F.explode(F.array_distinct(keys))).join(F.broadcast(table), ["kind", "key"])
+    met = met.filter(F.when(F.col("type") == "ast_function_def", F.contains(name, F.col("wanted"))).when(F.col("type") == "ast_absence", ~F.col("logs")).when(F.col("type").isin("ast_call", "ast_assignment"), _arguments_fit()).otherwise(True))
+    flow = F.col("type") == "data_flow"
+    met = met.withColumn("target", F.when(flow, F.col("name")).otherwise(F.col("pattern")))
+    out = _finding(met, "ast", F.when(flow, _about("unvalidated model output reaches '%s'")).otherwise(_about("technical pattern '%s'")), F.when(flow, ENGINES["flow"]).otherwise(ENGINES["ast"]))
+    return out
 
 
-FACTS_OUT = ["path", "ord", "rule_ord", "pattern_ord", "rule_id", "start_line", "end_line", "start_col", "end_col", "snippet"]
+def ast_findings(facts: DataFrame, catalog: Catalog) -> DataFrame:
+    """Imports, calls, assignments, definitions and calls without logging."""
+    return python_findings(facts, catalog, AST)
 
 
 def flow_specs(catalog: Catalog) -> list[dict]:
@@ -89,10 +104,7 @@ def flow_specs(catalog: Catalog) -> list[dict]:
 
 
 def flow_findings(facts: DataFrame, catalog: Catalog) -> DataFrame:
-    rows = [(n, i, j, r["id"]) for n, (i, j, r, _) in enumerate(catalog.patterns("data_flow"))]
-    table = facts.sparkSession.createDataFrame(rows, "spec int, rule_ord int, pattern_ord int, rule_id string")
-    met = facts.filter("kind = 'flow'").join(F.broadcast(table), "spec").withColumn("target", F.col("name"))
-    return _finding(met, "flow", _about("unvalidated model output reaches '%s'"))
+    return python_findings(facts, catalog, ("data_flow",))
 
 
 def _first_line(fits) -> Column:
@@ -111,7 +123,7 @@ def dependency_findings(sources: DataFrame, catalog: Catalog) -> DataFrame:
     table = F.broadcast(pattern_table(sources.sparkSession, catalog, "infra_dependency"))
     req = ft.requirement_packages(sources).join(table, "package")
     req = req.withColumns({"ord": F.col("line"), "target": F.col("pattern"), "start_line": F.col("line"), "end_line": F.col("line"), "snippet": strip(F.col("text")), "start_col": F.lit(0)}).withColumn("end_col", F.length("snippet"))
-    said = ft.declared_packages(sources).join(table, "package").join(sources.select("path", lines(F.col("text")).alias("lines")), "path")
+    said = ft.declared_packages(sources).join(table, "package").withColumn("lines", lines(F.col("text")))
     quoted = lambda t, q: F.contains(t, F.concat(F.lit(f"name = {q}"), "written", F.lit(q)))
     line = (F.when(F.col("kind") == "pyproject", _first_line(lambda t: F.contains(F.replace(F.lower(t), F.lit("_"), F.lit("-")), F.col("package"))))
             .when(F.col("kind") == "uvlock", _first_line(lambda t: quoted(t, '"') | quoted(t, "'")))
@@ -150,7 +162,7 @@ def docker_findings(sources: DataFrame, catalog: Catalog) -> DataFrame:
 def compose_findings(sources: DataFrame, catalog: Catalog) -> DataFrame:
     """Privileged or root services and plain ports of compose files."""
     message = _about("infrastructure risk at '%s'")
-    s = ft.compose_services(sources).join(sources.select("path", lines(F.col("text")).alias("lines")), "path").withColumnRenamed("ord", "service_ord")
+    s = ft.compose_services(sources).withColumn("lines", lines(F.col("text"))).withColumnRenamed("ord", "service_ord")
     root = s.filter(F.col("privileged") | F.get(F.split("user", ":"), F.lit(0)).isin("root", "0")).transform(_for_rules, catalog, "privileged_mode")
     root = root.withColumns({"target": F.concat(F.lit("service '"), "service", F.lit("' (privileged/root)")), "ord": F.col("service_ord") * 4096})
     root = _at_line(root, _first_line(lambda t: F.contains(t, F.concat("service", F.lit(":")))), F.col("service"))
@@ -161,41 +173,94 @@ def compose_findings(sources: DataFrame, catalog: Catalog) -> DataFrame:
     return _finding(root, "docker", message).unionByName(_finding(plain, "docker", message))
 
 
-def regex_hits(lines_: DataFrame, catalog: Catalog, text: str = "text") -> DataFrame:
+HIT = "struct<rule_ord:int,pattern_ord:int,rule_id:string,target:string,start:int,length:int>"
+
+
+def _text_patterns(catalog: Catalog, known: bool | None) -> list[tuple[int, int, dict, dict]]:
+    """All text patterns, or the built-in ones alone, or all but these."""
+    return [x for x in catalog.patterns("regex") if known is None or (x[3]["target"] in KNOWN_PATTERNS) == known]
+
+
+def regex_hits(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None) -> DataFrame:
     """lines_ with hit (rule_ord, pattern_ord, rule_id, target, start, length), one row for
     each pattern that a line matches. Patterns are literals: compiled once, no Python."""
     line, tests = F.col(text), []
-    for i, j, r, p in catalog.patterns("regex"):
+    for i, j, r, p in _text_patterns(catalog, known):
         java = java_regex(p["target"])
         # Places are only worked out where the pattern matches.
         tests.append(F.when(line.rlike(java), F.struct(F.lit(i).alias("rule_ord"), F.lit(j).alias("pattern_ord"), F.lit(r["id"]).alias("rule_id"), F.lit(p["target"]).alias("target"), match_start(line, java).alias("start"), match_length(line, java).alias("length"))))
     if not tests:
-        return lines_.limit(0).withColumn("hit", F.lit(None).cast("struct<rule_ord:int,pattern_ord:int,rule_id:string,target:string,start:int,length:int>"))
+        return lines_.limit(0).withColumn("hit", F.lit(None).cast(HIT))
     return lines_.withColumn("hit", F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())))
 
 
-def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text") -> DataFrame:
-    """The same by Python's own expressions, for patterns that Java reads otherwise."""
-    patterns = [(i, j, r["id"], p["target"]) for i, j, r, p in catalog.patterns("regex")]
+class OverBudget(ValueError):
+    """A file's patterns took more time or matches than a scan grants."""
+
+
+def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None, seconds: float = SECONDS, per: str = "path") -> DataFrame:
+    """The same by Python's expressions, for patterns that Java reads otherwise or whose time nobody
+    knows. The lines of one `per` may take so many seconds and MATCH_BUDGET matches; beyond
+    it the job fails. A pattern is stopped within a line where the library can do that."""
+    patterns = [(i, j, r["id"], p["target"]) for i, j, r, p in _text_patterns(catalog, known)]
     columns = lines_.columns
+    if not patterns:
+        return lines_.limit(0).withColumn("hit", F.lit(None).cast(HIT))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(p, re.compile(p[3])) for p in patterns]
+        try:
+            import regex as engine
+        except ImportError:  # without it, time is only looked at between lines
+            engine = re
+        compiled = [(p, engine.compile(p[3])) for p in patterns]
+        spent: dict[object, list[float]] = {}
         for frame in frames:
-            rows = [(*row, {"rule_ord": p[0], "pattern_ord": p[1], "rule_id": p[2], "target": p[3], "start": m.start(), "length": m.end() - m.start()}) for row in frame.itertuples(index=False, name=None) for p, c in compiled if (m := c.search(row[columns.index(text)]))]
+            rows = []
+            for row in frame.itertuples(index=False, name=None):
+                line, of = row[columns.index(text)], row[columns.index(per)] if per in columns else None
+                used = spent.setdefault(of, [0.0, 0])
+                for p, c in compiled:
+                    began = time.monotonic()
+                    try:
+                        m = c.search(line, timeout=max(0.001, seconds - used[0])) if engine is not re else c.search(line)
+                    except TimeoutError:
+                        m, used[0] = None, seconds + 1
+                    used[0] += time.monotonic() - began
+                    used[1] += m is not None
+                    if used[0] > seconds or used[1] > MATCH_BUDGET:
+                        raise OverBudget(f"text patterns exceed their budget for {of}")
+                    if m:
+                        rows.append((*row, {"rule_ord": p[0], "pattern_ord": p[1], "rule_id": p[2], "target": p[3], "start": m.start(), "length": m.end() - m.start()}))
             yield pd.DataFrame(rows, columns=[*columns, "hit"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines_.schema.fields), "hit struct<rule_ord:int,pattern_ord:int,rule_id:string,target:string,start:int,length:int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines_.schema.fields), f"hit {HIT}"])
     return lines_.mapInPandas(run, schema)
 
 
-def regex_findings(sources: DataFrame, catalog: Catalog, python: bool = False) -> DataFrame:
-    hits = (regex_hits_python if python else regex_hits)(ft.line_table(sources), catalog)
+def regex_findings(sources: DataFrame, catalog: Catalog, python: bool | str = False) -> DataFrame:
+    """python: False runs all text patterns in the JVM, True all in Python within a budget, and
+    "custom" those in Python that are not built in."""
+    texts = ft.line_table(sources)
+    if python == "custom":
+        hits = regex_hits(texts, catalog, known=True)
+        if _text_patterns(catalog, False):
+            hits = hits.unionByName(regex_hits_python(texts, catalog, known=False))
+    else:
+        hits = (regex_hits_python if python else regex_hits)(texts, catalog)
     df = hits.select("path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), (F.col("line") * 256 + F.col("hit.pattern_ord")).alias("ord"), "hit.rule_ord", "hit.pattern_ord", "hit.rule_id", "hit.target",
                      F.col("hit.start").alias("start_col"), (F.col("hit.start") + F.col("hit.length")).alias("end_col"), strip(F.col("text")).alias("snippet"))
     return _finding(df, "regex", _about("expression '%s' matches"))
 
 
+def over_match_budget(sources: DataFrame, catalog: Catalog) -> DataFrame:
+    """path, error for files with more matches of text patterns than a scan grants. A line gives one
+    match for each pattern at most, so only files of many lines are looked at."""
+    n = len(catalog.patterns("regex"))
+    long_ = sources.filter(F.size(lines(F.col("text"))) * n > MATCH_BUDGET)
+    counts = regex_hits(ft.line_table(long_), catalog).groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > MATCH_BUDGET)
+    return counts.select("path", F.concat(F.col("n").cast("string"), F.lit(" matches of text patterns")).alias("error"))
+
+
 def without_suppressed(findings: DataFrame, marks: DataFrame) -> DataFrame:
     """Left anti join: a finding goes if its first line names its rule or ALL."""
     m = marks.alias("m")

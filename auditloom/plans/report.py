@@ -146,6 +146,14 @@ def to_terminal(report: Report) -> str:
     return "\n".join(out)
 
 
+def to_html(report: Report) -> str:
+    """A page that lists the findings; display only."""
+    e = lambda x: html.escape(display(str(x)))
+    item = lambda f: f"<li><b>{e(f['severity'])}</b> {e(f['rule_id'])}: {e(f['title'])}<br>{e(f['location']['file_path'])}:{f['location']['start_line']}" + (f"<pre>{e(f['code_snippet'])}</pre>" if f["code_snippet"] else "") + f"<p>{e(f['remediation'])}</p></li>"
+    rows = "".join(map(item, report.findings)) or "<li>No findings in this scope. This does not show conformity.</li>"
+    return f"<!DOCTYPE html><html lang=en><meta charset=utf-8><title>{TOOL}</title><h1>{len(report.findings)} findings in {report.summary['total_files_scanned']} files</h1><p>{e(report.target_path)}, scan {e(report.scan_id)}</p><ol>{rows}</ol></html>"
+
+
 RENDERERS = {"json": to_json, "markdown": to_markdown, "sarif": to_sarif, "terminal": to_terminal, "dossier": to_dossier}
 
 

@@ -6,13 +6,15 @@ tables whose size is bounded by the catalog's own limits.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.strict import load_policy_yaml
+from ..functions.strict import load_policy_yaml, yaml_errors
+from ..sources import srctree
 from .builtin import BUILTIN
 
 TYPES = ("ast_call", "ast_import", "ast_assignment", "ast_function_def", "ast_absence", "regex", "data_flow", "infra_dependency", "infra_docker")
@@ -20,7 +22,7 @@ SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 #: Strictest first.
 TIERS = ("prohibited", "high_risk", "limited_risk", "minimal_risk")
-LIMITS = {"entries": 10_000, "files": 1_000, "rules": 10_000, "bytes": 10 << 20}
+LIMITS = {"entries": 10_000, "files": 1_000, "rules": 10_000, "bytes": 10 << 20, "file": 4 << 20}
 MAX_PATTERNS, MAX_PATTERN_LENGTH = 256, 4096
 _FIELDS = {"id", "article", "title", "severity", "risk_tier", "description", "remediation", "max_fine", "confidence", "patterns"}
 _ID = re.compile(r"[A-Z0-9]{3,8}-(?:ART\d+|GEN)-\d{3}")
@@ -98,22 +100,40 @@ class Catalog:
         return [(i, j, r, p) for i, r in enumerate(self.rules) for j, p in enumerate(r["patterns"]) if p["type"] in types]
 
 
+#: Text patterns whose time on any line is known to be short.
+KNOWN_PATTERNS = frozenset(p["target"] for r in BUILTIN for p in r["patterns"] if p["type"] == "regex")
+
+
 def builtin() -> Catalog:
     return Catalog(BUILTIN)
 
 
 def from_dir(folder: str | Path) -> Catalog:
-    """All .yaml and .yml files below folder, in order of their paths; one rule or a list each."""
-    entries = sorted(Path(folder).rglob("*"))
-    files = [p for p in entries if p.suffix.lower() in (".yaml", ".yml") and p.is_file()]
-    if len(entries) > LIMITS["entries"] or len(files) > LIMITS["files"] or sum(p.stat().st_size for p in files) > LIMITS["bytes"]:
-        raise CatalogError("rule folder exceeds its limits")
-    rules: list[dict] = []
-    for p in files:
-        document = load_policy_yaml(p.read_text(encoding="utf-8"))
-        rules += document if isinstance(document, list) else [document]
-        if len(rules) > LIMITS["rules"]:
-            raise CatalogError("too many rules")
+    """All .yaml and .yml files below folder, in order of their paths; one rule or a list each.
+    Links and special files are refused, and files that change while they are read."""
+    root = srctree.checked_path(str(folder))
+    if not os.path.isdir(root):
+        raise CatalogError(f"no folder: {folder}")
+    found = []
+    try:
+        for e in srctree.entries(root, {"maxEntries": LIMITS["entries"], "maxDepth": srctree.LIMITS["maxDepth"]}, lambda e: True):
+            if e.size < 0:
+                raise CatalogError(f"neither file nor folder: {e.path}")
+            if not e.folder and e.name.lower().endswith((".yaml", ".yml")):
+                found.append(e)
+        if len(found) > LIMITS["files"] or sum(e.size for e in found) > LIMITS["bytes"]:
+            raise CatalogError("rule folder exceeds its limits")
+        rules: list[dict] = []
+        for e in sorted(found, key=lambda e: e.path.split("/")):
+            try:
+                document = load_policy_yaml(srctree.read_stable(os.path.join(root, e.path), LIMITS["file"]).decode("utf-8-sig"))
+                rules += [_checked(r) for r in (document if isinstance(document, list) else [document])]
+            except (ValueError, yaml_errors()) as x:
+                raise CatalogError(f"{e.path} ({str(x).splitlines()[0]})") from x
+            if len(rules) > LIMITS["rules"]:
+                raise CatalogError("too many rules")
+    except OSError as x:
+        raise CatalogError(str(x)) from x
     if not rules:
         raise CatalogError("no rules found")
     return Catalog(rules)

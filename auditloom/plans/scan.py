@@ -39,14 +39,11 @@ LIMITATIONS = [
 ]
 
 
-def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool = False) -> DataFrame:
+def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = False) -> DataFrame:
     """Matches of all engines that no suppression covers. sources: path, text."""
-    facts = ft.python_facts(sources, match.flow_specs(catalog)) if catalog.patterns("ast_call", "ast_import", "ast_assignment", "ast_function_def", "ast_absence", "data_flow") else None
     structured, text = [], match.regex_findings(sources, catalog, python_regex)
-    if facts is not None:
-        # Each source is parsed once for both engines.
-        facts = facts.persist(StorageLevel.DISK_ONLY) if catalog.patterns("data_flow") else facts
-        structured += [match.ast_findings(facts, catalog), match.flow_findings(facts, catalog)]
+    if catalog.patterns("ast_call", "ast_import", "ast_assignment", "ast_function_def", "ast_absence", "data_flow"):
+        structured.append(match.python_findings(ft.python_facts(sources, match.flow_specs(catalog)), catalog))
     if catalog.patterns("infra_dependency"):
         structured.append(match.dependency_findings(sources, catalog))
     if catalog.patterns("infra_docker"):
@@ -60,7 +57,7 @@ def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, pytho
     return out
 
 
-def scan(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool = False) -> DataFrame:
+def scan(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = False) -> DataFrame:
     """Findings of sources (path, text): one row each, with its rule's attributes."""
     return fd.first_of_each(fd.identified(matches(sources, catalog, marker, python_regex), catalog))
 
@@ -147,10 +144,10 @@ def scan_path(spark: SparkSession, path: str, catalog: rl.Catalog | None = None,
     texts = decoded(raw).persist(StorageLevel.DISK_ONLY)
     try:
         sources = texts.filter("problem IS NULL").select("path", "text")
-        problems = texts.filter("problem IS NOT NULL").select("path", F.col("problem").alias("error")).unionByName(ft.validation_errors(sources))
+        problems = texts.filter("problem IS NOT NULL").select("path", F.col("problem").alias("error")).unionByName(ft.validation_errors(sources)).unionByName(match.over_match_budget(sources, catalog))
         if bad := problems.orderBy("path").first():
             raise ValueError(f"can't be read in full: {bad['path']} ({bad['error']})")
-        found = [_finding(r) for r in fd.in_order(scan(sources, catalog, marker)).collect()]
+        found = [_finding(r) for r in fd.in_order(scan(sources, catalog, marker, python_regex="custom")).collect()]
         manifest = [r.asDict() for r in fd.manifest(raw).orderBy(F.split("path", "/")).collect()]
         lines = sources.agg(F.sum(F.size(ft.lines(F.col("text"))))).first()[0] or 0
         imports = {r["path"]: r["imports"] for r in ft.import_inventory(sources).orderBy(F.split("path", "/")).collect()}
