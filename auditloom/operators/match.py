@@ -181,6 +181,150 @@ def _text_patterns(catalog: Catalog, known: bool | None) -> list[tuple[int, int,
     return [x for x in catalog.patterns("regex") if known is None or (x[3]["target"] in KNOWN_PATTERNS) == known]
 
 
+def relaxed(pattern: str) -> str | None:
+    """A pattern, as a group, that a text matches if one of its lines matches the given one: without
+    the conditions on what must not stand beside a match. None where line ends enter in another way."""
+    body = re.sub(r"\A\(\?[a-zA-Z]+\)", "", pattern)
+    flags = pattern[2 : pattern.index(")")] if body != pattern else ""
+    out, i, inside = [], 0, False
+    while i < len(body):
+        two = body[i : i + 2]
+        if two[0] == "\\":
+            if two[1:] in ("A", "Z", "z", "G"):
+                return None
+            out.append(two)
+            i += 2
+            continue
+        if not inside and body.startswith(("(?!", "(?<!"), i):
+            depth, j, in_class = 0, i, False
+            while j < len(body):
+                c = body[j]
+                if c == "\\":
+                    j += 1
+                elif in_class:
+                    in_class = c != "]"
+                elif c == "[":
+                    in_class = True
+                else:
+                    depth += (c == "(") - (c == ")")
+                    if not depth:
+                        break
+                j += 1
+            i = j + 1
+            continue
+        if not inside and (two[0] in "^$" or body.startswith(("(?=", "(?<="), i)):
+            return None
+        inside = (inside or two[0] == "[") and not (inside and two[0] == "]")
+        out.append(two[0])
+        i += 1
+    return f"(?{flags}:{''.join(out)})"
+
+
+#: Letters that ignoring case takes for ASCII ones.
+_FOLDED = "\u017f\u212a\u0131\u0130"
+
+
+def factors(pattern: str) -> list[str] | None:
+    """Texts, in small letters, one of which is in every match; a run of digits stands as `0000`.
+    None if there is nothing of three characters or more."""
+    best: list[str] | None = None
+
+    def keep(found: list[str] | None) -> None:
+        nonlocal best
+        if found and min(map(len, found)) >= 3 and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    run = ""
+    for op, arg in _parsed(pattern):
+        if op == "literal":
+            run += arg
+        elif op == "digits":
+            keep([run])
+            keep(["0" * arg])
+            run = ""
+        elif op == "branch":
+            keep([run])
+            keep([y for x in arg for y in x])
+            run = ""
+        elif op == "break":
+            keep([run])
+            run = ""
+    keep([run])
+    return best
+
+
+_ESCAPE = r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|N\{[^}]*\}|[0-9]{1,3}|.)"
+_CLASS = r"\[\^?\]?(?:[^\]\\]|\\.)*\]"
+#: What stands at a pattern's top level, in order of precedence. Groups that hold more than plain choices are skipped whole.
+_PIECES = re.compile(rf"""(?P<nothing>\\b|\(\?<?!(?:[^()\\]|\\.)*\))|\[0-9\]\{{(?P<digits>\d+)(?:,\d*)?\}}|\((?:\?:)?(?P<branch>[\w-]+(?:\|[\w-]+)*)\)(?![?*{{])|(?P<group>\()|(?P<choice>\|)|(?P<quantity>\{{\d*,?\d*\}})
+|(?P<literal>\\[^\w\s]|[^\\\[\](){{}}.*+?|^$\x80-\U0010ffff])(?![?*{{])|(?P<other>{_CLASS}|{_ESCAPE}|.)""".replace("\n", ""), re.S)
+
+
+def _parsed(pattern: str) -> Iterator[tuple[str, object]]:
+    """A pattern's top level: literals, runs of digits, choices of plain words, and all else as breaks."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    body, i = pattern[flags.end() if flags else 0 :], 0
+    if flags and "x" in flags[1] or "|" in _outside_groups(body):
+        return  # blanks that mean nothing, or a choice of the whole: nothing is sure
+    while m := _PIECES.match(body, i):
+        i = m.end()
+        if m["group"]:
+            i = _closed(body, m.start())
+        if m["digits"]:
+            yield "digits", int(m["digits"])
+        elif m["branch"]:
+            yield "branch", [[x.lower()] for x in m["branch"].split("|")]
+        elif m["literal"]:
+            yield "literal", m["literal"][-1].lower()
+        elif not m["nothing"]:
+            yield "break", None
+
+
+def _closed(pattern: str, at: int) -> int:
+    """The place after the group that begins at `at`."""
+    depth = 0
+    for m in re.compile(rf"{_CLASS}|{_ESCAPE}|.", re.S).finditer(pattern, at):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if not depth:
+            return m.end()
+    return len(pattern)
+
+
+def may_match(text: Column, catalog: Catalog, known: bool | None = None) -> Column:
+    """Whether a whole text can have a line that some text pattern matches. A cheap test comes first,
+    whether it has any of the patterns' factors; then one pass of one expression. Texts that
+    can't match, which is most, are never cut into lines."""
+    targets = [p["target"] for *_, p in _text_patterns(catalog, known)]
+    parts = [relaxed(java_regex(t)) for t in targets]
+    if not parts:
+        return F.lit(False)
+    if None in parts:
+        return F.lit(True)
+    sure = [factors(t) for t in targets]
+    whole = text.rlike("|".join(parts))
+    if None in sure:
+        return whole
+    digits = [len(x) for f in sure for x in f if set(x) == {"0"}]
+    low, gate = F.lower(text), F.lit(False)
+    for x in sorted({x for f in sure for x in f if set(x) != {"0"}}):
+        gate = gate | F.contains(low, F.lit(x))
+    for c in _FOLDED:
+        gate = gate | F.contains(text, F.lit(c))
+    if digits:
+        gate = gate | text.rlike(f"[0-9]{{{min(digits)}}}")
+    return F.when(gate, whole).otherwise(False)
+
+
+def _outside_groups(pattern: str) -> str:
+    """A pattern's characters outside of groups, classes and escapes."""
+    out, i = [], 0
+    while i < len(pattern):
+        m = re.compile(rf"(?P<group>\()|{_CLASS}|{_ESCAPE}|(?P<plain>.)", re.S).match(pattern, i)
+        out.append(m["plain"] or "")
+        i = _closed(pattern, i) if m["group"] else m.end()
+    return "".join(out)
+
+
 def regex_hits(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None) -> DataFrame:
     """lines_ with hit (rule_ord, pattern_ord, rule_id, target, start, length), one row for
     each pattern that a line matches. Patterns are literals: compiled once, no Python."""
@@ -240,13 +384,13 @@ def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text", k
 def regex_findings(sources: DataFrame, catalog: Catalog, python: bool | str = False) -> DataFrame:
     """python: False runs all text patterns in the JVM, True all in Python within a budget, and
     "custom" those in Python that are not built in."""
-    texts = ft.line_table(sources)
+    jvm = lambda known: regex_hits(ft.line_table(sources.filter(may_match(F.col("text"), catalog, known))), catalog, known=known)
     if python == "custom":
-        hits = regex_hits(texts, catalog, known=True)
+        hits = jvm(True)
         if _text_patterns(catalog, False):
-            hits = hits.unionByName(regex_hits_python(texts, catalog, known=False))
+            hits = hits.unionByName(regex_hits_python(ft.line_table(sources), catalog, known=False))
     else:
-        hits = (regex_hits_python if python else regex_hits)(texts, catalog)
+        hits = regex_hits_python(ft.line_table(sources), catalog) if python else jvm(None)
     df = hits.select("path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), (F.col("line") * 256 + F.col("hit.pattern_ord")).alias("ord"), "hit.rule_ord", "hit.pattern_ord", "hit.rule_id", "hit.target",
                      F.col("hit.start").alias("start_col"), (F.col("hit.start") + F.col("hit.length")).alias("end_col"), strip(F.col("text")).alias("snippet"))
     return _finding(df, "regex", _about("expression '%s' matches"))

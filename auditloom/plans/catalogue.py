@@ -68,7 +68,7 @@ def _regex_sql(table: str, key: str, text: str) -> str:
 
 
 def _first_hits(df: DataFrame, key: str, text: str) -> DataFrame:
-    rows = df.select(key, F.posexplode(lines(F.col(text))).alias("i", "text"))
+    rows = df.filter(match.may_match(F.col(text), _RULES)).select(key, F.posexplode(lines(F.col(text))).alias("i", "text"))
     hits = match.regex_hits(rows, _RULES).select(key, (F.col("i") + 1).alias("line"), "hit.rule_id", "hit.pattern_ord")
     return hits.groupBy(key, "line", "rule_id").agg(F.min("pattern_ord").alias("pattern_ord"))
 
