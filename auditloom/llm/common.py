@@ -32,14 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has stored, in order.
+_stored: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: it cuts the
     lineage, survives lost executors and lets later plans prune columns."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, since: int, but: DataFrame | None = None) -> None:
+    """Deletes the tables stored since there were `since`, except the files that `but` reads."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in but.inputFiles()} if but is not None else set()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _stored[since:]:
+        if path.split(":", 1)[-1].lstrip("/") not in kept:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _stored.remove(path)
+
+
+def stored_count() -> int:
+    return len(_stored)
+
+
 #: join_skewed takes keys with more rows than this, and more than one in HOT_SHARE of all, for hot.
 HOT_ROWS, HOT_SHARE = 1_000, 100_000
 
