@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import compression_quality, decontamination, mixing, near_dedup, surrogates
-from auditloom.llm.common import store, table, word_count
+from auditloom.llm.common import drop_stored, store, stored_count, table, word_count
 
 #: Key lists up to this length are sent to the executors; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 300_000
@@ -79,7 +79,11 @@ ORACLE_SQL = None  # trained and hashed stages; tests hold the result against a
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. What a stage has stored on its way is deleted with its input, once its
+    own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), stored_count()
     for k, (_, stage) in enumerate(STAGES):
         docs = store(stage(spark, docs, sf_dir), f"pipeline-stage{k}")
+        if not docs.isEmpty():  # an empty table's files can't be told from others
+            drop_stored(spark, before, but=docs)
     return docs
