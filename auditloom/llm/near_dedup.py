@@ -192,10 +192,11 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and node, root for the classes that have links."""
+    """Signatures of all rows, and for each class root (a class of its component), rows (how many
+    documents it has) and least (their smallest id)."""
     sig = store(signatures(docs), "dedup-signatures")
     own = F.struct("n", F.xxhash64("sketch").alias("s"))
-    one = lambda sig: store(sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.min(own).alias("x"), F.max(own).alias("y")).select("class", "r.*", (F.col("x") != F.col("y")).alias("unlike")), "dedup-classes")
+    one = lambda sig: store(sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.min(own).alias("x"), F.max(own).alias("y"), F.min("doc_id").alias("least"), F.count("*").alias("rows")).select("class", "r.*", "least", "rows", (F.col("x") != F.col("y")).alias("unlike")), "dedup-classes")
     reps = one(sig)
     if not reps.filter("unlike").isEmpty():
         mixed = reps.filter("unlike").select("class", F.lit(True).alias("unlike"))
@@ -222,14 +223,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = exact_lists(texts.join(long_, "class"))
     links = store(links.unionByName(verified(hub_pairs(exact), texts)), "dedup-links-so-far")
     more = verified(cross_pairs(exact, components(links)), texts)
-    return sig, components(links.unionByName(more)) if not more.isEmpty() else components(links)
+    roots = components(links.unionByName(more) if not more.isEmpty() else links).select(F.col("node").alias("class"), "root")
+    rooted = reps.select("class", "rows", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return sig, store(rooted, "dedup-roots")
+
+
+def with_classes(sig: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, th, n and the columns `keep` of each row's class; null for rows without words. A class of
+    very many copies stays where it is."""
+    rows = sig.select("doc_id", "th", "n", "class")
+    met = join_skewed(rows.filter("n > 0"), found, "class", "rows", keep=keep).select("doc_id", "th", "n", *keep)
+    return met.unionByName(rows.filter("n = 0").select("doc_id", "th", "n", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in keep]))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """doc_id, th, copies: of each component, and of each set-less row, the one document that
     stays; th is xxhash64 of its text, copies how many rows of docs are this very document."""
-    sig, roots = classes(docs.select("doc_id", "text"))
-    s = sig.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    sig, found = classes(docs.select("doc_id", "text"))
+    s = with_classes(sig, found, "root")
     rows = store(s.groupBy("root", "doc_id", "th").agg(F.count("*").alias("copies")), "dedup-rows")
     first = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "copies")).alias("r"))
     return first.select("r.doc_id", "r.th", "r.copies").unionByName(rows.filter("root IS NULL").select("doc_id", "th", F.lit(1).cast("long").alias("copies")))
@@ -237,13 +248,13 @@ def survivors(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    sig, roots = classes(docs.select("doc_id", "text"))
-    s = sig.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("root"))
-    s = store(s, "dedup-rows")
-    least = s.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = s.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    sig, found = classes(docs.select("doc_id", "text"))
+    # The smallest id of a component is that of its classes: rows take it with their class.
+    components_ = store(found.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("classes")), "dedup-components")
+    found = store(join_skewed(found, components_, "root", "classes", keep=("component",)), "dedup-class-components")
+    out = with_classes(sig, found, "component")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
