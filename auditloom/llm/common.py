@@ -78,6 +78,18 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str, keep: tuple[
     return cold.unionByName(left.join(few, on))
 
 
+#: Rows of a batch between the JVM and Python. Texts are about 2 KB, some far longer; both sides hold whole batches.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose steps in Python get batches of at most BATCH_ROWS rows from now on in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def low(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import store, table
+from .common import small_batches, store, table
 
 LEVEL, DICT_BYTES = 3, 64 * 1024
 
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, blocks: int =
     of a view and label that its dictionary is made from."""
     rows = sampled(docs, labels, sample)
     half = F.col("half")
-    cut = store(rows.filter(half == 0).select("y", "text").mapInArrow(_cut, "view string, y int, turn long, h binary, block binary"), "quality-blocks")
+    cut = store(small_batches(rows.filter(half == 0).select("y", "text")).mapInArrow(_cut, "view string, y int, turn long, h binary, block binary"), "quality-blocks")
     some = None
     for view in VIEWS:
         for y in (0, 1):
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, blocks: int =
             xs = [[] if is_blank(t) else differences(t, both) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(is_blank, texts), pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], names=["y", "half", "blank", "xs"])
 
-    found = rows.select("y", "half", "text").mapInArrow(measure, "y int, half int, blank boolean, xs array<double>").collect()  # at most `sample` for each label
+    found = small_batches(rows.select("y", "half", "text")).mapInArrow(measure, "y int, half int, blank boolean, xs array<double>").collect()  # at most `sample` for each label
     blank = [r["y"] for r in found if r["blank"]]
     full = sorted((r["xs"], r["y"], r["half"]) for r in found if not r["blank"])
     prior = (sum(y for _, y, _ in full) + 1) / (len(full) + 2)
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
             values = [score_text(t.as_py(), shared.value, both) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
+    return small_batches(docs).mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import wordhash
-from .common import join_skewed, store, table
+from .common import join_skewed, small_batches, store, table
 from .graph import components
 
 WIDTH, K, SHORT = 5, 48, 32
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["doc_id", "th", "class", "n", "sketch"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return src.mapInArrow(run, "doc_id long, th long, class long, n long, sketch array<long>")
+    return small_batches(src).mapInArrow(run, "doc_id long, th long, class long, n long, sketch array<long>")
 
 
 def _pick_texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     t = texts.select
     met = pairs.join(t(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(t(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
-    return store(met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "dedup-links")
+    return store(small_batches(met.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "dedup-links")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -154,7 +154,7 @@ def exact_lists(texts: DataFrame) -> DataFrame:
             for cls, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist())):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls), pa.int64()), pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s.view(np.int64))], names=["class", "n", "h"])
 
-    each = store(texts.select("class", "text").mapInArrow(run, "class long, n long, h long"), "dedup-shingles")
+    each = store(small_batches(texts.select("class", "text")).mapInArrow(run, "class long, n long, h long"), "dedup-shingles")
     counts = store(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "dedup-shingle-counts")
     shared = join_skewed(each, counts, "h", "df", keep=("df",))
     w = W.partitionBy("class")
