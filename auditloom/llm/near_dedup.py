@@ -193,10 +193,10 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and for each class root (a class of its component), rows (how many
-    documents it has) and least (their smallest id)."""
+    documents it has), least (their smallest id) and first (the document that goes before the others)."""
     sig = store(signatures(docs), "dedup-signatures")
     own = F.struct("n", F.xxhash64("sketch").alias("s"))
-    one = lambda sig: store(sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.min(own).alias("x"), F.max(own).alias("y"), F.min("doc_id").alias("least"), F.count("*").alias("rows")).select("class", "r.*", "least", "rows", (F.col("x") != F.col("y")).alias("unlike")), "dedup-classes")
+    one = lambda sig: store(sig.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("r"), F.min(own).alias("x"), F.max(own).alias("y"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("first"), F.count("*").alias("rows")).select("class", "r.*", "least", "first", "rows", (F.col("x") != F.col("y")).alias("unlike")), "dedup-classes")
     reps = one(sig)
     if not reps.filter("unlike").isEmpty():
         mixed = reps.filter("unlike").select("class", F.lit(True).alias("unlike"))
@@ -224,7 +224,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = store(links.unionByName(verified(hub_pairs(exact), texts)), "dedup-links-so-far")
     more = verified(cross_pairs(exact, components(links)), texts)
     roots = components(links.unionByName(more) if not more.isEmpty() else links).select(F.col("node").alias("class"), "root")
-    rooted = reps.select("class", "rows", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = reps.select("class", "rows", "least", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     return sig, store(rooted, "dedup-roots")
 
 
@@ -240,10 +240,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     """doc_id, th, copies: of each component, and of each set-less row, the one document that
     stays; th is xxhash64 of its text, copies how many rows of docs are this very document."""
     sig, found = classes(docs.select("doc_id", "text"))
-    s = with_classes(sig, found, "root")
-    rows = store(s.groupBy("root", "doc_id", "th").agg(F.count("*").alias("copies")), "dedup-rows")
-    first = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "copies")).alias("r"))
-    return first.select("r.doc_id", "r.th", "r.copies").unionByName(rows.filter("root IS NULL").select("doc_id", "th", F.lit(1).cast("long").alias("copies")))
+    # Components choose among their classes' first documents; no row of docs is joined with its class.
+    first = store(found.groupBy("root").agg(F.min("first").alias("r")).select("r.doc_id", "r.th"), "dedup-first").alias("f")
+    copies = sig.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).alias("c")
+    kept = first.join(copies, F.col("f.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("f.th") == F.col("c.th"))).select("f.doc_id", "f.th", "copies")
+    return kept.unionByName(sig.filter("n = 0").select("doc_id", "th", F.lit(1).cast("long").alias("copies")).distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
