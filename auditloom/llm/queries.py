@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontamination, html_extraction, language_model, mixing, near_dedup, quality_rules, surrogates, token_counts, url_filter
+from . import compression_quality, decontamination, fill_middle, filter_audit, html_extraction, language_model, mixing, near_dedup, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_compression_quality": compression_quality.op8_compression_quality,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLES = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }

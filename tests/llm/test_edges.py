@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from auditloom.llm import common, language_model, queries
 
-TABLES = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
+TABLES = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
 @pytest.fixture(scope="module")
