@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontamination, fill_middle, filter_audit, html_extraction, language_model, mixing, near_dedup, quality_rules, surrogates, token_counts, url_filter
+from . import compression_quality, decontamination, embedding_dedup, fill_middle, filter_audit, html_extraction, language_model, mixing, near_dedup, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 ORACLES = {
