@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import finding_hash, json_string
 from ..plans.rules import SEVERITIES, TIERS, Catalog, rules_table
+from ..sources.tables import stored
 
 #: What the scan id of a scan without findings is a digest of; a parameter.
 EMPTY = "EMPTY_CLEAN_SCAN"
@@ -68,12 +75,58 @@ def gate(found: DataFrame, allowed: str | None, *keys: str) -> DataFrame:
     return out.select(*keys, (F.col("n") == 0).alias("passes"))
 
 
+def _in_order(rows: DataFrame, keys: tuple[str, ...], order: list[Column], piece: Column, name: str, around: tuple[str, str, str], empty: str | None = None) -> DataFrame:
+    """keys, and in `name` the SHA-256 of each key's pieces in order, opened, separated and closed by `around`.
+    The rows of a key stream through its task, which holds one batch of them and a state of the
+    digest; the sort before it spills to disk. Without keys there is always one row."""
+    opened, between, closed = (x.encode() for x in around)
+    names = [f"_k{i}" for i in range(len(keys))]
+    cols = [F.col(k).alias(n) for k, n in zip(keys, names)] + [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    df, by = rows.select(*cols, piece.alias("_piece"), F.lit(True).alias("_real")), [f"_o{i}" for i in range(len(order))]
+    if keys:
+        df = df.repartition(*names).sortWithinPartitions(*names, *by)
+    else:  # a row of nulls stands for the table, which may be empty
+        none = rows.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema[:-1]], F.lit(False).alias("_real"))
+        df = df.unionByName(none).repartition(1).sortWithinPartitions(*by)
+    df = df.select(*names, "_piece", "_real")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n = None, hashlib.sha256(), 0
+
+        def ended() -> tuple:
+            text = empty.encode() if not n and empty is not None else closed if n else opened + closed
+            state.update(text)
+            return (*(now or ()), state.hexdigest())
+
+        for batch in batches:
+            out = []
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(len(names))))) if names else [()] * batch.num_rows
+            for key, piece, real in zip(own, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                if now is not None and key != now:
+                    out.append(ended())
+                    state, n = hashlib.sha256(), 0
+                now = key
+                if real:
+                    state.update((between if n else opened) + (piece or "").encode())
+                    n += 1
+            if out:
+                yield _rows(out)
+        if now is not None:
+            yield _rows([ended()])
+
+    schema = StructType([StructField(n, rows.schema[k].dataType) for n, k in zip(names, keys)] + [StructField(name, StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def _rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, arrow.field(i).type) for i, v in enumerate(zip(*found))], schema=arrow)
+
+    return df.mapInArrow(run, schema).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], name)
+
+
 def scan_id(found: DataFrame, *keys: str, empty: str = EMPTY) -> DataFrame:
-    """keys, scan_id: digest of the sorted finding ids. The ids of one scan meet in one row,
-    64 bytes each."""
-    ids = F.sort_array(F.collect_list("id"))
-    digest = F.sha2(F.when(F.size(ids) > 0, F.array_join(ids, "|")).otherwise(F.lit(empty)), 256)
-    return (found.groupBy(*keys).agg(digest.alias("scan_id"))) if keys else found.agg(digest.alias("scan_id"))
+    """keys, scan_id: digest of the sorted finding ids. It is a digest of one sequence, so a scan's ids stream
+    through one task, in bounded memory; `merkle.tree` has a digest for which no task sees all of them."""
+    return _in_order(found, keys, [F.col("id")], F.col("id"), "scan_id", ("", "|", ""), empty)
 
 
 def manifest(raw: DataFrame) -> DataFrame:
@@ -81,12 +134,34 @@ def manifest(raw: DataFrame) -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"))
 
 
+def manifest_entry() -> Column:
+    """An entry of the manifest as compact canonical JSON."""
+    return F.concat(F.lit('{"path":'), json_string(F.col("path")), F.lit(',"sha256":"'), "sha256", F.lit('","size_bytes":'), F.col("size_bytes").cast("string"), F.lit("}"))
+
+
 def manifest_fingerprint(entries: DataFrame, *keys: str) -> DataFrame:
-    """Digest of the manifest as compact canonical JSON, files in order of their paths' parts."""
-    one = F.concat(F.lit('{"path":'), json_string(F.col("path")), F.lit(',"sha256":"'), "sha256", F.lit('","size_bytes":'), F.col("size_bytes").cast("string"), F.lit("}"))
-    rows = F.sort_array(F.collect_list(F.struct(F.split("path", "/").alias("k"), one.alias("v"))))
-    digest = F.sha2(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["v"]), ","), F.lit("]")), 256).alias("manifest_hash")
-    return entries.groupBy(*keys).agg(digest) if keys else entries.agg(digest)
+    """Digest of the manifest as compact canonical JSON, files in order of their paths' parts; entries of
+    one scan stream through one task, as in scan_id."""
+    return _in_order(entries, keys, [path_key(F.col("path")), manifest_entry()], manifest_entry(), "manifest_hash", ("[", ",", "]"))
+
+
+def placed(found: DataFrame, *keys: str, order: list[Column] | None = None) -> DataFrame:
+    """found with `place`, its number from 1 within keys in the given order (that of reports by default).
+    Rows are dealt to ranges of the order and sorted there; a range's rows are numbered on their own, and
+    what the ranges before it have of the same key is added from a table of counts. No key meets in one task."""
+    order = report_order() if order is None else order
+    by = [f"_o{i}" for i in range(len(order))]
+    df = found.withColumns({n: c for n, c in zip(by, order)})
+    dealt = df.repartitionByRange(*[F.col(k) for k in (*keys, *by)]).sortWithinPartitions(*keys, *by).drop(*by)
+    dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed-rows")
+    dealt = dealt.withColumns({"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+    counts = dealt.groupBy("_range", *keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], (F.coalesce(upto, F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return dealt.join(starts, on).select(*found.columns, (F.col("_row") + F.col("_start")).alias("place"))
 
 
 def rule_index(found: DataFrame, *keys: str) -> DataFrame:
@@ -109,6 +184,33 @@ def changed_files(actual: DataFrame, reviewed: DataFrame) -> DataFrame:
     return met.select("path", F.when(F.col("y").isNull(), "new").when(F.col("x").isNull(), "gone").otherwise("changed").alias("change"))
 
 
+def published_differences(artifacts: DataFrame, published: DataFrame) -> DataFrame:
+    """artifacts: filename, sha256; published: filename, sha256, yanked (null: not). filename, problem of every artifact
+    that an index does not serve as it is: `missing`, `yanked` (whatever its digest) or `changed`. A file that is
+    published several times is judged by its worst entry."""
+    p = published.groupBy("filename").agg(F.max(F.coalesce("yanked", F.lit(False))).alias("yanked"), F.min("sha256").alias("low"), F.max("sha256").alias("high"), F.lit(True).alias("there"))
+    met = artifacts.alias("a").join(p.alias("p"), "filename", "left")
+    same = F.col("low").eqNullSafe(F.col("a.sha256")) & F.col("high").eqNullSafe(F.col("a.sha256"))
+    problem = F.when(F.col("there").isNull(), "missing").when(F.col("yanked"), "yanked").when(~same, "changed")
+    return met.select("filename", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+#: Release lists of package indexes: the JSON of a version (`urls`, `digests`) and the simple index (`files`, `hashes`).
+_RELEASES = "struct<urls:array<struct<filename:string,yanked:string,digests:struct<sha256:string>>>,files:array<struct<filename:string,yanked:string,hashes:struct<sha256:string>>>>"
+
+
+def published_files(answers: DataFrame, *keys: str, payload: str = "payload") -> DataFrame:
+    """keys, filename, sha256, yanked of every file that index answers (JSON texts) list. A reason, which simple
+    indexes give in place of true, counts as yanked, also an empty one; an answer that is no JSON lists nothing."""
+    r = F.from_json(payload, _RELEASES)
+    each = lambda files, digests: F.transform(F.coalesce(files, F.array().cast(_files(digests))), lambda f: F.struct(f["filename"].alias("filename"), f[digests]["sha256"].alias("sha256"), (f["yanked"].isNotNull() & (f["yanked"] != "false")).alias("yanked")))
+    return answers.select(*keys, F.inline(F.concat(each(r["urls"], "digests"), each(r["files"], "hashes"))))
+
+
+def _files(digests: str) -> str:
+    return f"array<struct<filename:string,yanked:string,{digests}:struct<sha256:string>>>"
+
+
 def detection_quality(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """truth: case_id, expected; predicted: case_id. One row: tp, fp, tn, fn, precision, recall, f1."""
     p = predicted.select("case_id").distinct().withColumn("hit", F.lit(True))

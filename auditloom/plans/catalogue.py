@@ -373,8 +373,8 @@ def glob_exclusions(spark, sf_dir):
 @query(f"SELECT doc_id, p AS path, (row_number() OVER (PARTITION BY doc_id % 7 ORDER BY string_split(p, '/'), doc_id))::INTEGER AS place FROM (SELECT doc_id, {_PATH} p FROM documents)")
 def path_order(spark, sf_dir):
     """Paths in the order of their parts, as reports have them."""
-    p = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"))
-    return p.withColumn("place", F.row_number().over(W.partitionBy(F.col("doc_id") % 7).orderBy(fd.path_key(F.col("path")), "doc_id")))
+    p = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"), (F.col("doc_id") % 7).alias("scan"))
+    return fd.placed(p, "scan", order=[fd.path_key(F.col("path")), F.col("doc_id")]).select("doc_id", "path", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT tp, fp, tn, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, 2.0 * tp / (2 * tp + fp + fn) AS f1 FROM (SELECT count(*) FILTER (e AND h) tp, count(*) FILTER (NOT e AND h) fp, count(*) FILTER (NOT e AND NOT h) tn, count(*) FILTER (e AND NOT h) fn FROM (SELECT doc_id % 2 = 0 AS e, doc_id % 3 <> 0 AS h FROM documents))".replace("2.0 * tp / (2 * tp + fp + fn)", "2 * (tp / (tp + fp)::DOUBLE) * (tp / (tp + fn)::DOUBLE) / ((tp / (tp + fp)::DOUBLE) + (tp / (tp + fn)::DOUBLE))"))

@@ -367,7 +367,8 @@ def finding_order(spark, sf_dir):
     """Findings in a report's order: files by parts, engines, then each engine's own order."""
     e = F.col("event_id")
     f = _synthetic(spark, sf_dir).withColumns({"engine": (e % 5).cast("int"), "pattern_ord": (e % 3).cast("int"), "ord": e % 7, "id": F.lpad((e * 37 % 101).cast("string"), 3, "0")})
-    return f.select("event_id", F.row_number().over(W.partitionBy("scan").orderBy(*fd.report_order(), "event_id")).alias("place"))
+    order = [*fd.report_order(), F.col("event_id")]
+    return fd.placed(f, "scan", order=order).select("event_id", F.col("place").cast("int").alias("place"))
 
 
 # -- context ----------------------------------------------------------------
