@@ -44,7 +44,7 @@ from .hnsw import Graph
 #: Bytes of vectors in a shard, and how many shards there are at least.
 SHARD_BYTES, MIN_SHARDS = 16 << 20, 12
 #: Beam that a search starts with, sampled vectors of an audit, and how much of their links it must find.
-BEAM, SAMPLE, RECALL = 32, 256, 0.995
+BEAM, SAMPLE, RECALL = 24, 256, 0.995
 #: Nodes in a part of a stored graph.
 PART = 512
 

@@ -11,6 +11,8 @@ import numpy as np
 
 #: Links of a node in the upper layers (twice as many in the lowest), beam while building.
 M, BUILD_BEAM = 8, 48
+#: Bytes of the notes which query has seen which node; small, so that they stay in a core's cache.
+BLOCK = 1 << 20
 _LEAST = np.float32(-2)
 
 
@@ -112,48 +114,57 @@ class Graph:
 
     def _walk(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, beam: int, fan: int = 4) -> tuple[np.ndarray, np.ndarray]:
         links, n = self.links[k], len(self.links[k])
-        b, width = len(q), links.shape[1]
-        seen = np.zeros((b, n + 1), bool)  # the last column takes what is no node
-        np.put_along_axis(seen, np.where(ids < 0, n, ids), True, 1)
-        have = np.full((b, beam), -1, np.int32)
-        near = np.full((b, beam), _LEAST, np.float32)
+        # Whether a query has seen a node, as one row after the other; the last place of a row takes what is no node.
+        seen = np.zeros(len(q) * (n + 1), bool)
+        base = np.arange(len(q), dtype=np.int64)[:, None] * (n + 1)
+        seen[(base + np.where(ids < 0, n, ids)).ravel()] = True
+        have = np.full((len(q), beam), -1, np.int32)
+        near = np.full((len(q), beam), _LEAST, np.float32)
         have[:, : ids.shape[1]], near[:, : ids.shape[1]] = ids[:, :beam], sims[:, :beam]
         todo = have >= 0
         rows = np.flatnonzero(todo.any(1))
         while len(rows):
-            open_ = todo[rows]
+            open_ = todo.take(rows, 0)
             # Of each beam the nearest nodes that are not yet expanded.
             at = np.argsort(~open_, axis=1, kind="stable")[:, :fan]
-            live = np.take_along_axis(open_, at, 1)
-            todo[rows[:, None], at] = False
-            step = links[np.where(live, np.take_along_axis(have[rows], at, 1), 0)]
-            step = np.where(live[:, :, None], step, -1).reshape(len(rows), -1)
-            step = np.sort(np.where(step < 0, n, step), axis=1)
-            fresh = ~seen[rows[:, None], step]
+            flat = rows[:, None] * beam + at
+            live = todo.ravel().take(flat)
+            todo.ravel()[flat] = False
+            step = links.take(np.where(live, have.ravel().take(flat), 0), 0)
+            step[~live] = n
+            step[step < 0] = n
+            step = np.sort(step.reshape(len(rows), -1), axis=1)
+            spot = base.take(rows, 0) + step
+            fresh = ~seen.take(spot)
             fresh[:, 1:] &= step[:, 1:] != step[:, :-1]
-            seen[rows[:, None], step] = True
             fresh &= step < n
+            seen[spot.ravel()] = True
             r, c = np.nonzero(fresh)
-            s = np.full(step.shape, _LEAST, np.float32)
-            s[r, c] = np.einsum("nd,nd->n", q[rows[r]], self.unit[step[r, c]])
-            s[s <= near[rows, -1:]] = _LEAST
-            gain = (s > _LEAST).any(1)
-            if gain.any():
-                g = rows[gain]
-                all_s = np.concatenate([near[g], s[gain]], 1)
-                all_i = np.concatenate([have[g], step[gain].astype(np.int32)], 1)
-                all_t = np.concatenate([todo[g], s[gain] > _LEAST], 1)
+            s = np.einsum("nd,nd->n", q.take(rows.take(r), 0), self.unit.take(step[r, c], 0))
+            better = s > near[:, -1].take(rows.take(r))
+            r, s, node = r[better], s[better], step[r[better], c[better]]
+            if len(r):
+                # The better ones of a query stand side by side behind its beam.
+                own, first, count = np.unique(r, return_index=True, return_counts=True)
+                k_ = np.arange(len(r)) - np.repeat(first, count)
+                line = np.repeat(np.arange(len(own)), count)
+                more_s = np.full((len(own), int(count.max())), _LEAST, np.float32)
+                more_i = np.full(more_s.shape, -1, np.int32)
+                more_s[line, k_], more_i[line, k_] = s, node
+                g = rows[own]
+                all_s = np.concatenate([near.take(g, 0), more_s], 1)
+                all_i = np.concatenate([have.take(g, 0), more_i], 1)
+                all_t = np.concatenate([todo.take(g, 0), more_i >= 0], 1)
                 best = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
-                near[g] = np.take_along_axis(all_s, best, 1)
-                have[g] = np.where(near[g] > _LEAST, np.take_along_axis(all_i, best, 1), -1)
-                todo[g] = np.take_along_axis(all_t, best, 1) & (have[g] >= 0)
-            rows = rows[todo[rows].any(1)]
+                best += np.arange(len(g))[:, None] * all_s.shape[1]
+                near[g], have[g], todo[g] = all_s.ravel().take(best), all_i.ravel().take(best), all_t.ravel().take(best)
+            rows = rows[todo.take(rows, 0).any(1)]
         return have, near
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and cosines of up to `beam` near nodes for each query, nearest first; -1 where there is none."""
         ids, sims = [], []
-        size = max(8, min(512, (16 << 20) // max(1, len(self.unit)), (2 << 20) // beam))
+        size = max(8, min(512, BLOCK // max(1, len(self.unit)), (2 << 20) // beam))
         for at in range(0, len(q), size):
             i, s = self._descend(q[at : at + size], 0, beam, len(self.unit))
             pad = ((0, 0), (0, beam - i.shape[1]))
