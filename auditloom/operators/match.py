@@ -10,16 +10,22 @@ to the executors.
 from __future__ import annotations
 
 import re
+import signal
+import threading
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cost import longest_line
 from ..functions.text import java_regex, lines, match_length, match_start, package_name, strip
 from ..plans.rules import KNOWN_PATTERNS, Catalog
+from ..sources.tables import stored
 from . import facts as ft
+from . import pattern_index
 
 FINDING = ["path", "engine", "rule_ord", "pattern_ord", "ord", "rule_id", "target", "start_line", "end_line", "start_col", "end_col", "snippet", "message", "steps"]
 ENGINES = {"ast": 0, "flow": 1, "dependency": 2, "docker": 3, "regex": 4}
@@ -300,10 +306,15 @@ def may_match(text: Column, catalog: Catalog, known: bool | None = None) -> Colu
         return F.lit(False)
     if None in parts:
         return F.lit(True)
-    sure = [factors(t) for t in targets]
     whole = text.rlike("|".join(parts))
+    return F.when(has_factor(text, targets), whole).otherwise(False)
+
+
+def has_factor(text: Column, targets: list[str]) -> Column:
+    """Whether a whole text has what every match of one of the patterns holds."""
+    sure = [factors(t) for t in targets]
     if None in sure:
-        return whole
+        return F.lit(True)
     digits = [len(x) for f in sure for x in f if set(x) == {"0"}]
     low, gate = F.lower(text), F.lit(False)
     for x in sorted({x for f in sure for x in f if set(x) != {"0"}}):
@@ -312,7 +323,7 @@ def may_match(text: Column, catalog: Catalog, known: bool | None = None) -> Colu
         gate = gate | F.contains(text, F.lit(c))
     if digits:
         gate = gate | text.rlike(f"[0-9]{{{min(digits)}}}")
-    return F.when(gate, whole).otherwise(False)
+    return gate
 
 
 def _outside_groups(pattern: str) -> str:
@@ -325,14 +336,18 @@ def _outside_groups(pattern: str) -> str:
     return "".join(out)
 
 
-def regex_hits(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None) -> DataFrame:
+def regex_hits(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None, only: set[tuple[int, int]] | None = None) -> DataFrame:
     """lines_ with hit (rule_ord, pattern_ord, rule_id, target, start, length), one row for
     each pattern that a line matches. Patterns are literals: compiled once, no Python."""
     line, tests = F.col(text), []
     for i, j, r, p in _text_patterns(catalog, known):
-        java = java_regex(p["target"])
+        if only is not None and (i, j) not in only:
+            continue
+        java, fits = java_regex(p["target"]), line.rlike(java_regex(p["target"]))
+        if only is not None and p["target"] not in KNOWN_PATTERNS:
+            fits = (F.length(line) <= longest_line(p["target"])) & fits
         # Places are only worked out where the pattern matches.
-        tests.append(F.when(line.rlike(java), F.struct(F.lit(i).alias("rule_ord"), F.lit(j).alias("pattern_ord"), F.lit(r["id"]).alias("rule_id"), F.lit(p["target"]).alias("target"), match_start(line, java).alias("start"), match_length(line, java).alias("length"))))
+        tests.append(F.when(fits, F.struct(F.lit(i).alias("rule_ord"), F.lit(j).alias("pattern_ord"), F.lit(r["id"]).alias("rule_id"), F.lit(p["target"]).alias("target"), match_start(line, java).alias("start"), match_length(line, java).alias("length"))))
     if not tests:
         return lines_.limit(0).withColumn("hit", F.lit(None).cast(HIT))
     return lines_.withColumn("hit", F.explode(F.filter(F.array(*tests), lambda h: h.isNotNull())))
@@ -342,50 +357,139 @@ class OverBudget(ValueError):
     """A file's patterns took more time or matches than a scan grants."""
 
 
-def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None, seconds: float = SECONDS, per: str = "path") -> DataFrame:
-    """The same by Python's expressions, for patterns that Java reads otherwise or whose time nobody
-    knows. The lines of one `per` may take so many seconds and MATCH_BUDGET matches; beyond
-    it the job fails. A pattern is stopped within a line where the library can do that."""
-    patterns = [(i, j, r["id"], p["target"]) for i, j, r, p in _text_patterns(catalog, known)]
+@contextmanager
+def _within(seconds: float) -> Iterator[None]:
+    """TimeoutError in the block when the time is over. Python's expressions look for signals as they go, so a
+    search is stopped where it is; only the main thread of a process has signals."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def over(*_: object) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, max(0.001, seconds))
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def timed_hits(lines_: DataFrame, patterns: list[tuple[int, int, str, str, int]], text: str = "text", seconds: float = SECONDS, per: str = "path") -> DataFrame:
+    """lines_ with hit and error, by Python's expressions: (rule order, pattern order, rule id, target, length)
+    of patterns, each for lines that are longer than its length. The lines of one `per` stand together
+    and may take so many seconds and MATCH_BUDGET matches. Beyond it the file gets one row with an error,
+    and no more of its lines are tried."""
     columns = lines_.columns
-    if not patterns:
-        return lines_.limit(0).withColumn("hit", F.lit(None).cast(HIT))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import regex as engine
-        except ImportError:  # without it, time is only looked at between lines
-            engine = re
-        compiled = [(p, engine.compile(p[3])) for p in patterns]
-        spent: dict[object, list[float]] = {}
+        compiled = [(p, re.compile(p[3])) for p in patterns]
+        now, used, matched, failed = None, 0.0, 0, False
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False, name=None):
                 line, of = row[columns.index(text)], row[columns.index(per)] if per in columns else None
-                used = spent.setdefault(of, [0.0, 0])
+                if of != now:
+                    now, used, matched, failed = of, 0.0, 0, False
                 for p, c in compiled:
-                    began = time.monotonic()
+                    if failed or len(line) <= p[4]:
+                        continue
+                    began, m = time.monotonic(), None
                     try:
-                        m = c.search(line, timeout=max(0.001, seconds - used[0])) if engine is not re else c.search(line)
+                        with _within(seconds - used):
+                            m = c.search(line)
                     except TimeoutError:
-                        m, used[0] = None, seconds + 1
-                    used[0] += time.monotonic() - began
-                    used[1] += m is not None
-                    if used[0] > seconds or used[1] > MATCH_BUDGET:
-                        raise OverBudget(f"text patterns exceed their budget for {of}")
-                    if m:
-                        rows.append((*row, {"rule_ord": p[0], "pattern_ord": p[1], "rule_id": p[2], "target": p[3], "start": m.start(), "length": m.end() - m.start()}))
-            yield pd.DataFrame(rows, columns=[*columns, "hit"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines_.schema.fields), f"hit {HIT}"])
+                        failed = True
+                    used += time.monotonic() - began
+                    matched += m is not None
+                    if failed or used > seconds or matched > MATCH_BUDGET:
+                        failed = True
+                        rows.append((*row, None, f"text patterns exceed their budget for {of} (rule {p[2]})"))
+                    elif m:
+                        rows.append((*row, {"rule_ord": p[0], "pattern_ord": p[1], "rule_id": p[2], "target": p[3], "start": m.start(), "length": m.end() - m.start()}, None))
+            yield pd.DataFrame(rows, columns=[*columns, "hit", "error"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in lines_.schema.fields), f"hit {HIT}", "error string"])
     return lines_.mapInPandas(run, schema)
 
 
-def regex_findings(sources: DataFrame, catalog: Catalog, python: bool | str = False) -> DataFrame:
-    """python: False runs all text patterns in the JVM, True all in Python within a budget, and
-    "custom" those in Python that are not built in."""
+def _or_fail(timed: DataFrame) -> DataFrame:
+    """timed without its error, which ends the job."""
+    hit = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast(HIT)).otherwise(F.col("hit"))
+    return timed.withColumn("hit", hit).drop("error")
+
+
+def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text", known: bool | None = None, seconds: float = SECONDS, per: str = "path") -> DataFrame:
+    """Hits by Python's expressions within a budget, for patterns that Java reads otherwise or whose time
+    nobody knows. A file beyond it fails the job, which names the file and the rule."""
+    patterns = [(i, j, r["id"], p["target"], -1) for i, j, r, p in _text_patterns(catalog, known)]
+    if not patterns:
+        return lines_.limit(0).withColumn("hit", F.lit(None).cast(HIT))
+    return _or_fail(timed_hits(lines_, patterns, text, seconds, per))
+
+
+#: From how many text patterns with factors on a line is looked up in an index of grams first.
+INDEXED = 64
+
+
+def _in_bounds(sources: DataFrame, catalog: Catalog) -> DataFrame:
+    """path, line, text, hit of all text patterns on lines for which their time is known to be short."""
+    patterns = [(i, j, r["id"], p["target"], factors(p["target"]), (1 << 30) if p["target"] in KNOWN_PATTERNS else longest_line(p["target"])) for i, j, r, p in _text_patterns(catalog, None)]
+    patterns = [p for p in patterns if p[5] >= 0]
+    index = [p for p in patterns if p[4]]
+    if len(index) < INDEXED:
+        index = []
+    rest = {p[:2] for p in patterns if p not in index}
+    trusted = {(i, j) for i, j, _, _ in _text_patterns(catalog, True)}
+    table = lambda s: ft.line_table(s)
+    # A text as a whole is tried only with patterns whose time is short on any text.
+    custom = [p for p in patterns if p[:2] in rest - trusted]
+    gate = has_factor(F.col("text"), [p[3] for p in custom]) if custom else F.lit(False)
+    if rest & trusted:
+        gate = gate | may_match(F.col("text"), catalog, True)
+    out = regex_hits(table(sources.filter(gate)), catalog, only=rest).select("path", "line", "text", "hit")
+    if index:
+        out = out.unionByName(pattern_index.indexed_hits(sources, index, table))
+    return out
+
+
+def _beyond_bounds(sources: DataFrame, catalog: Catalog) -> DataFrame | None:
+    """path, line, text, hit, error of the other lines, each pattern timed; None if there are no custom patterns."""
+    patterns = [(i, j, r["id"], p["target"], longest_line(p["target"])) for i, j, r, p in _text_patterns(catalog, False)]
+    if not patterns:
+        return None
+    least = min(p[4] for p in patterns)
+    return timed_hits(ft.line_table(sources).filter(F.length("text") > least), patterns)
+
+
+def timed(sources: DataFrame, catalog: Catalog) -> DataFrame | None:
+    """The hits and errors of searches whose time the patterns' form does not bound, stored once; give it to
+    regex_findings, and take the errors from it. None if all patterns are built in."""
+    found = _beyond_bounds(sources, catalog)
+    return None if found is None else stored(found, "timed-hits")
+
+
+def over_time_budget(timed_: DataFrame | None, sources: DataFrame) -> DataFrame:
+    """path, error of files whose patterns took too long or matched too often."""
+    if timed_ is None:
+        return sources.sparkSession.createDataFrame([], "path string, error string")
+    return timed_.filter("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
+
+
+def regex_findings(sources: DataFrame, catalog: Catalog, python: bool | str = "bounded", timed_: DataFrame | None = None) -> DataFrame:
+    """python: "bounded" runs a text pattern in the JVM on lines for which its form bounds the time, and in Python
+    within a budget on the others; False runs all in the JVM, True all in Python, and "custom" those
+    in Python that are not built in. timed_: what `timed` gave for these sources; failed files count for nothing."""
     jvm = lambda known: regex_hits(ft.line_table(sources.filter(may_match(F.col("text"), catalog, known))), catalog, known=known)
-    if python == "custom":
+    if python == "bounded":
+        hits = _in_bounds(sources, catalog)
+        if timed_ is not None:
+            hits = hits.unionByName(timed_.filter("error IS NULL").drop("error"))
+        elif (more := _beyond_bounds(sources, catalog)) is not None:
+            hits = hits.unionByName(_or_fail(more))
+    elif python == "custom":
         hits = jvm(True)
         if _text_patterns(catalog, False):
             hits = hits.unionByName(regex_hits_python(ft.line_table(sources), catalog, known=False))
@@ -401,7 +505,8 @@ def over_match_budget(sources: DataFrame, catalog: Catalog) -> DataFrame:
     match for each pattern at most, so only files of many lines are looked at."""
     n = len(catalog.patterns("regex"))
     long_ = sources.filter(F.size(lines(F.col("text"))) * n > MATCH_BUDGET)
-    counts = regex_hits(ft.line_table(long_), catalog).groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > MATCH_BUDGET)
+    bounded = {(i, j) for i, j, _, p in catalog.patterns("regex") if p["target"] in KNOWN_PATTERNS or longest_line(p["target"]) >= 0}
+    counts = regex_hits(ft.line_table(long_), catalog, only=bounded).groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > MATCH_BUDGET)
     return counts.select("path", F.concat(F.col("n").cast("string"), F.lit(" matches of text patterns")).alias("error"))
 
 

@@ -39,9 +39,9 @@ LIMITATIONS = [
 ]
 
 
-def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = False) -> DataFrame:
+def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = "bounded", timed: DataFrame | None = None) -> DataFrame:
     """Matches of all engines that no suppression covers. sources: path, text."""
-    structured, text = [], match.regex_findings(sources, catalog, python_regex)
+    structured, text = [], match.regex_findings(sources, catalog, python_regex, timed)
     if catalog.patterns("ast_call", "ast_import", "ast_assignment", "ast_function_def", "ast_absence", "data_flow"):
         structured.append(match.python_findings(ft.python_facts(sources, match.flow_specs(catalog)), catalog))
     if catalog.patterns("infra_dependency"):
@@ -57,11 +57,24 @@ def matches(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, pytho
     return out
 
 
-def scan(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = False) -> DataFrame:
-    """Findings of sources (path, text): one row each, with its rule's attributes."""
+def scan(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, python_regex: bool | str = "bounded") -> DataFrame:
+    """Findings of sources (path, text): one row each, with its rule's attributes. A file on which a custom
+    text pattern takes too long ends the job, which names it; `scan_all` goes on without it."""
     return fd.first_of_each(fd.identified(matches(sources, catalog, marker, python_regex), catalog))
 
 
+def scan_all(sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER) -> tuple[DataFrame, DataFrame]:
+    """Findings, and (path, error) of the files on which custom text patterns took more time or matches than a
+    scan grants. Such a file fails as a whole, and has no findings; all others are scanned."""
+    timed = match.timed(sources, catalog)
+    failed = match.over_time_budget(timed, sources)
+    if timed is None:
+        return scan(sources, catalog, marker), failed
+    sources = sources.join(failed.select("path"), "path", "left_anti")
+    timed = timed.join(failed.select("path"), "path", "left_anti")
+    return fd.first_of_each(fd.identified(matches(sources, catalog, marker, timed=timed), catalog)), failed
+
+
 def read_tree(spark: SparkSession, path: str, config: Config) -> tuple[DataFrame, DataFrame]:
     """(path, content, size) and (path, reason) of a tree on this machine."""
     spark.dataSource.register(SourceTree)
