@@ -431,7 +431,7 @@ def regex_hits_python(lines_: DataFrame, catalog: Catalog, text: str = "text", k
 
 
 #: From how many text patterns with factors on a line is looked up in an index of grams first.
-INDEXED = 64
+INDEXED = 24
 
 
 def _in_bounds(sources: DataFrame, catalog: Catalog) -> DataFrame:
