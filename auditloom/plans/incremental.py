@@ -87,6 +87,12 @@ class Store:
         found.write.mode("overwrite").parquet(self._at("findings", gen))
         manifest.write.mode("overwrite").parquet(self._at("manifest", gen))
 
+    def rewind(self, gens: int) -> None:
+        """Back to the state after `gens` scans, where later ones are to be made again."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for g in reversed([g for g in self.generations() if g >= gens]):
+            self._fs().delete(path(self._at("manifest", g)), True)
+
     def forget(self, keep: int = 1) -> list[int]:
         """Deletes all manifests but the last `keep`, and the findings that none of these refers to."""
         gens = self.generations()
@@ -123,12 +129,19 @@ def changes(now: DataFrame, before: DataFrame, rules: str) -> DataFrame:
     return met.select(F.coalesce("path", "_p").alias("path"), "sha256", "size_bytes", F.when(change == "same", F.col("since")).alias("since"), change.alias("change"))
 
 
-def scan(store: Store, sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, engine: Callable[..., DataFrame] = sc.scan) -> tuple[DataFrame, DataFrame]:
+def scan(store: Store, sources: DataFrame, catalog: rl.Catalog, marker: str = MARKER, engine: Callable[..., DataFrame] = sc.scan, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of sources (path, text, and if they are known sha256 and size_bytes, so that texts of files
-    that stay are not even read), and the change of every file. The result is what a full scan gives."""
+    that stay are not even read), and the change of every file. The result is what a full scan gives.
+    gone: if given, sources are only some of the files, and of the others those of `gone` (path) have been deleted."""
     rules = fingerprint(catalog, marker)
     gen = max([*store.generations(), -1]) + 1
-    met = stored(changes(_current(sources), store.manifest(), rules), "scan-changes")
+    before = store.manifest()
+    met = changes(_current(sources), before, rules)
+    if gone is not None:
+        absent = before.join(gone.select("path"), "path", "left_anti").join(sources.select("path"), "path", "left_anti")
+        unseen = absent.select("path", "sha256", "size_bytes", "since", F.lit("unseen").alias("change"))
+        met = met.join(absent.select("path"), "path", "left_anti").unionByName(unseen)
+    met = stored(met, "scan-changes")
     todo = met.filter("change IN ('new', 'changed', 'rules')").select("path")
     n, size = met.filter("change IN ('new', 'changed', 'rules')").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("path") + 64), F.lit(0))).first()
     if not store.generations():
@@ -137,7 +150,13 @@ def scan(store: Store, sources: DataFrame, catalog: rl.Catalog, marker: str = MA
         todo = F.broadcast(todo) if size <= SENT_BYTES else todo
         changed = sources.join(todo, "path", "left_semi")
     found = engine(changed.select("path", F.coalesce("text", F.lit("")).alias("text")), catalog, marker)
-    kept = met.filter("change <> 'gone'").select("path", "sha256", "size_bytes", F.lit(rules).alias("rules"), F.coalesce("since", F.lit(gen)).cast("int").alias("since"))
+    old = before.select("path", F.col("rules").alias("_rules")) if gone is not None else None
+    kept = met.filter("change <> 'gone'")
+    if old is not None:  # a file that was not seen keeps the rules it was scanned with
+        kept = kept.join(old, "path", "left").withColumn("_rules", F.when(F.col("change") == "unseen", F.col("_rules")).otherwise(rules))
+    else:
+        kept = kept.withColumn("_rules", F.lit(rules))
+    kept = kept.select("path", "sha256", "size_bytes", F.col("_rules").alias("rules"), F.coalesce("since", F.lit(gen)).cast("int").alias("since"))
     store.write(gen, kept, found)
     return store.findings(), met.select("path", "change")
 
