@@ -93,7 +93,9 @@ def _assess(args) -> int:
 def _ui(args) -> int:
     from .plans import console
 
-    with console.serve(console.Console(_session(), args.path), args.port) as server:
+    served = console.Console(_session(), args.path)
+    served.warm()
+    with console.serve(served, args.port) as server:
         print(f"http://127.0.0.1:{server.server_address[1]}/")
         try:
             server.serve_forever()

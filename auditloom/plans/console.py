@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -84,6 +85,30 @@ class Console:
             ("POST", "/api/docgen"): self.docgen, ("POST", "/api/assess"): self.assess, ("POST", "/api/verify"): self.verify,
         }
 
+    def _within(self, seconds: float, operation: Callable[[dict], Answer], values: dict) -> Answer:
+        """The operation's answer in time. One that is late is ended: its running Spark jobs are cancelled,
+        and those that it would still start are refused."""
+        sc_, group = self.spark.sparkContext, f"console-{uuid.uuid4().hex}"
+
+        def run() -> Answer:
+            sc_.setJobGroup(group, "console", interruptOnCancel=True)
+            return operation(values)
+
+        job = self.jobs.submit(run)
+        try:
+            return job.result(seconds)
+        except Late:
+            job.cancel()
+            sc_._jsc.sc().cancelJobGroupAndFutureJobs(group)
+            raise
+
+    def warm(self) -> None:
+        """One scan, so that the first request does not wait for the session's first plans."""
+        try:
+            self._report({})
+        except (ValueError, OSError, PySparkException):
+            pass  # requests say what is wrong with the project
+
     def _report(self, values: dict) -> sc.Report:
         path = os.path.abspath(os.path.join(self.root, str(values.get("path") or ".")))
         if path != self.root and not path.startswith(self.root + os.sep):
@@ -126,7 +151,7 @@ class Console:
             if len(body) > LIMITS["request"]:
                 raise Refused(413, "request too large")
             values = bounded_json(body) if method == "POST" else {k: v[-1] for k, v in parse_qs(parts.query).items()}
-            out = self.jobs.submit(operation, values).result(LIMITS["seconds"])
+            out = self._within(LIMITS["seconds"], operation, values)
             if len(out.body) > LIMITS["answer"]:
                 raise Refused(413, "answer too large")
             return out

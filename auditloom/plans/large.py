@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import findings as fd
-from ..operators import merkle
+from ..operators import match, merkle
 from ..sources.tables import fresh_path
 from . import incremental
-from .catalogue import _EVENTS, _HASH, _documents, _regex_only, _regex_sql, _synthetic, _table, query
+from . import rules as rl
+from .catalogue import _LINES, _documents, _regex_only, _regex_sql, _table, query
 
 # -- scans of changed files -------------------------------------------------
 # The documents as they are, after a scan of a former state: of a hundred documents one had
@@ -50,32 +51,42 @@ def incremental_changes(spark, sf_dir):
 
 # -- digest trees -----------------------------------------------------------
 
-def _tree_sql(rows: str, key: str) -> str:
-    """Roots of trees over rows (key, entry), level by level."""
-    level = lambda below, n, child: f"SELECT {key}, left({child}, {n}) AS p, sum(n)::BIGINT AS n, sha256(string_agg({child} || ':' || d, ',' ORDER BY {child} || ':' || d)) AS d FROM {below} GROUP BY ALL"
-    return (f"l AS (SELECT {key}, sha256(entry) AS place, count(*) AS n, sha256(entry || '*' || count(*)) AS d FROM ({rows}) GROUP BY {key}, entry), "
-            f"six AS ({level('l', 6, 'place')}), four AS ({level('six', 4, 'p')}), two AS ({level('four', 2, 'p')}), top AS ({level('two', 0, 'p')})")
+_ENTRY = """'{"path":"' || p || '","sha256":"' || sha256(t) || '","size_bytes":' || octet_length(encode(t)) || '}'"""
 
 
-@query(f"WITH {_EVENTS}, {_tree_sql(f'SELECT scan, {_HASH} AS entry FROM f', 'scan')} SELECT scan, n AS entries, d AS root FROM top")
-def merkle_root_by_scan(spark, sf_dir):
-    return merkle.tree(_synthetic(spark, sf_dir), "scan").roots()
+def _level(below: str, digits: int, child: str) -> str:
+    line = f"{child} || ':' || d"
+    return f"SELECT source, left({child}, {digits}) AS p, sum(n)::BIGINT AS n, sha256(string_agg({line}, ',' ORDER BY {line})) AS d FROM {below} GROUP BY ALL"
 
 
-@query(f"""WITH {_tree_sql("SELECT source, '{' || '\"path\":\"' || doc_id || '\",\"sha256\":\"' || sha256(coalesce(text, '')) || '\",\"size_bytes\":' || octet_length(encode(coalesce(text, ''))) || '}' AS entry FROM documents", 'source')} SELECT source, n AS entries, d AS root FROM top""")
-def manifest_tree_by_source(spark, sf_dir):
+def _entries(d: DataFrame) -> DataFrame:
+    """source, path, sha256, size_bytes of source, path, text."""
     text = F.coalesce("text", F.lit(""))
-    d = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).alias("size_bytes"))
-    return merkle.tree(d, "source", entry=fd.manifest_entry()).roots()
-
-
-@query(f"""WITH {_EVENTS}, h AS (SELECT event_id, {_HASH} AS entry FROM f), a AS (SELECT entry, count(*) n FROM h WHERE event_id % 1000 <> 0 GROUP BY entry), b AS (SELECT entry, count(*) n FROM h WHERE event_id % 1000 <> 1 GROUP BY entry)
-SELECT entry, CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'gone' ELSE 'count' END AS change, coalesce(a.n, 0)::BIGINT AS new_copies, coalesce(b.n, 0)::BIGINT AS old_copies FROM a FULL JOIN b USING (entry) WHERE a.n IS DISTINCT FROM b.n""")
-def merkle_differences(spark, sf_dir):
-    """Two states of the findings, compared from the root down."""
-    f = _synthetic(spark, sf_dir).select("event_id", "id")
-    trees = [merkle.tree(f.filter(f"event_id % 1000 <> {k}").select("id")).stored() for k in (0, 1)]
-    return merkle.differences(*trees).select("entry", "change", "new_copies", "old_copies")
+    return d.select("source", "path", F.sha2(text, 256).alias("sha256"), F.octet_length(text).alias("size_bytes"))
+
+
+@query(f"""WITH e AS (SELECT source, {_ENTRY} AS entry FROM (SELECT source, doc_id::VARCHAR p, coalesce(text, '') t FROM documents)),
+l AS (SELECT source, sha256(entry) AS place, count(*) AS n, sha256(entry || '*' || count(*)) AS d FROM e GROUP BY source, entry),
+six AS ({_level('l', 6, 'place')}), four AS ({_level('six', 4, 'p')}), two AS ({_level('four', 2, 'p')}), top AS ({_level('two', 0, 'p')})
+SELECT source, 6 AS depth, p AS prefix, n AS entries, d AS digest FROM six UNION ALL SELECT source, 4, p, n, d FROM four UNION ALL SELECT source, 2, p, n, d FROM two UNION ALL SELECT source, 0, p, n, d FROM top""")
+def manifest_trees(spark, sf_dir):
+    """All nodes of each source's manifest tree; those of depth 0 are the digests of the manifests."""
+    d = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), "text")
+    return merkle.tree(_entries(d), "source", entry=fd.manifest_entry()).nodes.select("source", "depth", "prefix", "entries", "digest")
+
+
+@query(f"""WITH n AS (SELECT source, {_ENTRY} AS entry, {_CHANGE} <> 'new' AS old, doc_id % 100 <> 7 AS same FROM (SELECT *, 'd' || doc_id || '.txt' p, coalesce(text, '') t FROM documents)),
+o AS (SELECT source, entry FROM n WHERE old AND same UNION ALL SELECT source, {_ENTRY} FROM (SELECT source, 'd' || doc_id || '.txt' p, coalesce(text, '') || chr(10) || 'verify = False' t FROM documents WHERE doc_id % 100 = 7)),
+a AS (SELECT source, entry, count(*) n FROM n GROUP BY ALL), b AS (SELECT source, entry, count(*) n FROM o GROUP BY ALL)
+SELECT coalesce(a.source, b.source) AS source, coalesce(a.entry, b.entry) AS entry, CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'gone' ELSE 'count' END AS change, coalesce(a.n, 0)::BIGINT AS new_copies, coalesce(b.n, 0)::BIGINT AS old_copies
+FROM a FULL JOIN b ON a.entry = b.entry AND a.source IS NOT DISTINCT FROM b.source WHERE a.n IS DISTINCT FROM b.n""")
+def manifest_differences(spark, sf_dir):
+    """Each source's manifest against the one of its former state, from the roots down."""
+    d = _documents(spark, sf_dir)
+    text = F.when(F.col("doc_id") % 100 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit("\nverify = False"))).otherwise(F.col("text"))
+    old = d.filter("doc_id % 100 <> 8").withColumn("text", text)
+    trees = [merkle.tree(_entries(x), "source", entry=fd.manifest_entry()).stored() for x in (d, old)]
+    return merkle.differences(*trees).select("source", "entry", "change", "new_copies", "old_copies")
 
 
 # -- published files --------------------------------------------------------
@@ -89,3 +100,20 @@ def published_differences(spark, sf_dir):
     version = F.to_json(F.struct(F.array(F.struct("filename", (F.col("doc_id") % 7 == 0).alias("yanked"), digest.alias("digests"))).alias("urls")))
     answers = d.filter("doc_id % 5 <> 0").select(F.when(F.col("doc_id") % 2 == 0, simple).otherwise(version).alias("payload"))
     return fd.published_differences(d.select("filename", "sha256"), fd.published_files(answers))
+
+
+# -- large catalogs ---------------------------------------------------------
+
+_FOLLOWED = "[ ,.]+[a-z]"
+
+
+@query("WITH " + _LINES.format(key="doc_id", text="text", table="documents") + f""", w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{8,}}')) w FROM benchmark), c AS (SELECT w FROM w ORDER BY sha256(w) LIMIT {rl.MAX_PATTERNS // 2})
+SELECT 'd' || doc_id || '.txt' AS path, line AS start_line, w || '{_FOLLOWED}' AS target FROM l JOIN c ON contains(l.text, c.w) WHERE regexp_matches(l.text, w || '{_FOLLOWED}')""")
+def large_catalog_findings(spark, sf_dir):
+    """Half of the patterns that a catalog may have, of the benchmark's words, on all documents."""
+    found = _table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0))).alias("w")).distinct()
+    chosen = [r["w"] for r in found.orderBy(F.sha2("w", 256)).limit(rl.MAX_PATTERNS // 2).collect()]
+    base = rl.builtin().rules[0]
+    rules = rl.Catalog({**base, "id": f"TEST-GEN-{k:03}", "patterns": [{"type": "regex", "target": w + _FOLLOWED}]} for k, w in enumerate(chosen))
+    hits = match.regex_findings(_documents(spark, sf_dir).select("path", "text"), rules)
+    return hits.select("path", "start_line", "target")

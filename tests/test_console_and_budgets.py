@@ -1,6 +1,7 @@
 import json
 import os
 import threading
+import time
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
@@ -26,9 +27,12 @@ def project(tmp_path_factory):
 @pytest.fixture(scope="module")
 def served(spark, project):
     c = console.Console(spark, str(project))
+    c.warm()
+    seconds, console.LIMITS["seconds"] = console.LIMITS["seconds"], 600.0  # these tests are not about this machine's speed
     server = console.serve(c)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield c, f"http://127.0.0.1:{server.server_address[1]}"
+    console.LIMITS["seconds"] = seconds
     server.shutdown()
     server.server_close()
 
@@ -36,7 +40,7 @@ def served(spark, project):
 def fetch(url, body=None, **headers):
     data = body if isinstance(body, bytes) or body is None else json.dumps(body).encode()
     try:
-        with urlopen(Request(url, data, {"Content-Type": "application/json", **headers}), timeout=60) as r:
+        with urlopen(Request(url, data, {"Content-Type": "application/json", **headers}), timeout=700) as r:
             return r.status, r.headers, r.read()
     except HTTPError as e:
         return e.code, e.headers, e.read()
@@ -78,6 +82,28 @@ def test_job_and_answer_limits(served, monkeypatch):
     assert c.answer("GET", "/api/scan").status == 503
 
 
+def test_a_late_job_is_cancelled(served, spark, monkeypatch):
+    c, _ = served
+    began, ended = threading.Event(), []
+
+    def slow(values):
+        try:
+            for _ in range(3):  # a cancelled job must not be followed by others
+                began.set()
+                spark.range(1 << 40).selectExpr("sum(id % 7)").collect()
+        except Exception as e:
+            ended.append(e)
+            raise
+
+    monkeypatch.setitem(c.routes, ("GET", "/slow"), slow)
+    monkeypatch.setitem(console.LIMITS, "seconds", 3.0)
+    assert c.answer("GET", "/slow").status == 503 and began.is_set()
+    until = time.monotonic() + 120
+    while not ended and time.monotonic() < until:
+        time.sleep(0.2)
+    assert ended and not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_questions(spark):
     replies = iter(["triage", "boss", "provider", "y", "yes", "maybe", "n", "?", "", "n", "n", "n", "y", "n", "n", "n"])
     answers = console.asked(lambda q: next(replies))
