@@ -177,6 +177,58 @@ def baseline_diff(actual: DataFrame, reviewed: DataFrame, columns: tuple[str, ..
     return a.exceptAll(b).withColumn("change", F.lit("new")).unionByName(b.exceptAll(a).withColumn("change", F.lit("gone")))
 
 
+#: How many lines a finding may have moved to be taken for the same.
+BAND = 50
+
+
+def aligned_diff(actual: DataFrame, reviewed: DataFrame, band: int = BAND, what: tuple[str, ...] = ("rule_id", "path", "target", "snippet"), line: str = "start_line") -> DataFrame:
+    """Differences by `what` and line, where a finding that only moved is `moved`, not gone and new: change (`new`,
+    `gone` or `moved`), the columns of `what`, line and old_line (null where there is none).
+
+    Findings that are the same in both are taken out first, as often as they are in both. Of the rest, those
+    with equal `what` are aligned: each looks for the nearest of the other side, up to band lines away (the upper
+    one of two at the same distance), by an as-of look at its neighbours in line order; two that choose each
+    other are one that moved. Pairs found are taken out, and the rest tries again until no pair is left to
+    find. `baseline_diff` is the exact form, and stays the default of reviews."""
+    keys = [*what, line]
+    left = lambda a, b: a.select(*keys).exceptAll(b.select(*keys)).select(*what, F.col(line).alias("at"))
+    number = F.row_number().over(W.partitionBy(*what, "at").orderBy(F.lit(0)))
+    sides = left(actual, reviewed).withColumn("new", F.lit(True)).unionByName(left(reviewed, actual).withColumn("new", F.lit(False)))
+    open_ = stored(sides, "diff-open")
+    pairs: DataFrame | None = None
+    while True:
+        met = stored(_mutual(open_.select(*what, "at", "new").withColumn("n", number), what, band), "diff-pairs")
+        if met.isEmpty():
+            break
+        pairs = met if pairs is None else pairs.unionByName(met)
+        used = met.select(*what, F.col("at"), F.lit(True).alias("new")).unionByName(met.select(*what, F.col("old").alias("at"), F.lit(False).alias("new")))
+        open_ = stored(open_.exceptAll(used), "diff-open")
+    out = open_.select(F.when(F.col("new"), "new").otherwise("gone").alias("change"), *what, F.when(F.col("new"), F.col("at")).alias(line), F.when(~F.col("new"), F.col("at")).alias("old_line"))
+    if pairs is not None:
+        out = out.unionByName(pairs.select(F.lit("moved").alias("change"), *what, F.col("at").alias(line), F.col("old").alias("old_line")))
+    return out
+
+
+def _mutual(rows: DataFrame, what: tuple[str, ...], band: int) -> DataFrame:
+    """what, at, old of rows that choose each other. Rows at one line are numbered, and the n-th is one line for itself."""
+    order = W.partitionBy(*what).orderBy("at", "n", "new")
+    above, below = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    me = F.struct("at", "n")
+    theirs = lambda side, pick, w: pick(F.when(F.col("new") == side, me), ignorenulls=True).over(w)
+    up = F.when(F.col("new"), theirs(False, F.last, above)).otherwise(theirs(True, F.last, above))
+    down = F.when(F.col("new"), theirs(False, F.first, below)).otherwise(theirs(True, F.first, below))
+    df = rows.withColumns({"up": up, "down": down})
+    far = lambda c: F.abs(F.col("at") - F.col(f"{c}.at"))
+    nearer = F.col("down").isNull() | (F.col("up").isNotNull() & (far("up") <= far("down")))
+    df = df.withColumn("choice", F.when(nearer, F.col("up")).otherwise(F.col("down"))).filter(F.abs(F.col("at") - F.col("choice.at")) <= band)
+    side = lambda new, name: df.filter(F.col("new") == new).select(*[F.col(w).alias(f"{name}_{w}") for w in what], F.struct("at", "n").alias(f"{name}_me"), F.col("choice").alias(f"{name}_choice"))
+    on = (F.col("a_me") == F.col("b_choice")) & (F.col("b_me") == F.col("a_choice"))
+    for w in what:
+        on = on & F.col(f"a_{w}").eqNullSafe(F.col(f"b_{w}"))
+    met = side(True, "a").join(side(False, "b"), on)
+    return met.select(*[F.col(f"a_{w}").alias(w) for w in what], F.col("a_me.at").alias("at"), F.col("b_me.at").alias("old"))
+
+
 def changed_files(actual: DataFrame, reviewed: DataFrame) -> DataFrame:
     """path, change of files that are new, gone or of other content."""
     a, b = actual.select("path", F.col("sha256").alias("x")), reviewed.select("path", F.col("sha256").alias("y"))

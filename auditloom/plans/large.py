@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import findings as fd
 from ..operators import match, merkle
 from ..sources.tables import fresh_path
-from . import incremental
+from . import incremental, samples
 from . import rules as rl
+from . import scan as sc
 from .catalogue import _LINES, _documents, _regex_only, _regex_sql, _table, query
 
 # -- scans of changed files -------------------------------------------------
@@ -117,3 +118,30 @@ def large_catalog_findings(spark, sf_dir):
     rules = rl.Catalog({**base, "id": f"TEST-GEN-{k:03}", "patterns": [{"type": "regex", "target": w + _FOLLOWED}]} for k, w in enumerate(chosen))
     hits = match.regex_findings(_documents(spark, sf_dir).select("path", "text"), rules)
     return hits.select("path", "start_line", "target")
+
+
+# -- the catalog against labels of its own ------------------------------------
+
+@query(samples.expected_sql())
+def catalog_samples(spark, sf_dir):
+    """Every built-in rule by files that it must find, and near ones that it must not."""
+    return sc.scan(samples.sources(spark, sf_dir), rl.builtin()).select("path", "rule_id", "severity", "risk_tier", "start_line")
+
+
+# -- baselines over moved lines -----------------------------------------------
+
+#: Three findings of one rule in each document, 100 lines apart, and how far an edit has moved them. Moved by 80, they
+#: stand nearer to the next one's former place than to their own.
+_MOVES = "f AS (SELECT 'd' || doc_id || '.txt' AS path, 'line ' || doc_id % 3 AS snippet, doc_id % 40 AS r, CASE WHEN doc_id % 10 = 3 THEN 80 ELSE doc_id % 7 END AS shift, unnest([1, 2, 3]) AS k FROM documents)"
+
+
+@query(f"""WITH {_MOVES} SELECT 'moved' AS change, path, snippet, (100 * k + r + shift)::INTEGER AS start_line, (100 * k + r)::INTEGER AS old_line FROM f WHERE shift BETWEEN 1 AND 50
+UNION ALL SELECT 'moved', path, snippet, (100 * k + r + shift)::INTEGER, (100 * k + 100 + r)::INTEGER FROM f WHERE shift = 80 AND k < 3
+UNION ALL SELECT 'new', path, snippet, (300 + r + shift)::INTEGER, NULL FROM f WHERE shift = 80 AND k = 3 UNION ALL SELECT 'gone', path, snippet, NULL, (100 + r)::INTEGER FROM f WHERE shift = 80 AND k = 1""")
+def aligned_baseline(spark, sf_dir):
+    """Findings against a reviewed state, where those that only moved are neither new nor gone."""
+    d = _documents(spark, sf_dir)
+    shift = F.when(F.col("doc_id") % 10 == 3, 80).otherwise(F.col("doc_id") % 7)
+    d = d.select("path", F.concat(F.lit("line "), (F.col("doc_id") % 3).cast("string")).alias("snippet"), (F.col("doc_id") % 40).alias("r"), shift.alias("shift"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
+    at = lambda more: d.select("path", "snippet", (100 * F.col("k") + F.col("r") + more).cast("int").alias("start_line"))
+    return fd.aligned_diff(at(F.col("shift")), at(F.lit(0)), what=("path", "snippet"))
