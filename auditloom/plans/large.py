@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import findings as fd
-from ..operators import match, merkle
+from ..operators import match, merkle, names
 from ..sources.tables import fresh_path
 from . import incremental, samples
 from . import rules as rl
@@ -145,3 +145,20 @@ def aligned_baseline(spark, sf_dir):
     d = d.select("path", F.concat(F.lit("line "), (F.col("doc_id") % 3).cast("string")).alias("snippet"), (F.col("doc_id") % 40).alias("r"), shift.alias("shift"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
     at = lambda more: d.select("path", "snippet", (100 * F.col("k") + F.col("r") + more).cast("int").alias("start_line"))
     return fd.aligned_diff(at(F.col("shift")), at(F.lit(0)), what=("path", "snippet"))
+
+
+# -- names by joins -----------------------------------------------------------
+
+_MODULE, _OWN = "'m' || CAST(doc_id % 5 AS STRING) || '.core'", "'x' || CAST(doc_id % 7 AS STRING)"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, {_MODULE} AS m, {_OWN} AS x, doc_id % 2 = 0 AS hidden FROM documents)
+SELECT id, 2 AS start_line, m || '.Client' AS name, 'a.Client' AS spelling FROM c
+UNION ALL SELECT id, 5, CASE WHEN hidden THEN 'b.run' ELSE m || '.Client.run' END, 'b.run' FROM c UNION ALL SELECT id, 6, m || '.Client.run', 'c.run' FROM c
+UNION ALL SELECT id, 8, m || '.Client.part', 'd' FROM c UNION ALL SELECT id, 9, 'c', 'c' FROM c UNION ALL SELECT id, 10, m || '.' || x, 'a.' || x FROM c""")
+def resolved_calls(spark, sf_dir):
+    """Names of calls by interval joins of uses and bindings: imports, instances, copies, and parameters that hide them."""
+    c = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_MODULE).alias("m"), F.expr(_OWN).alias("x"), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("p").alias("p"))
+    text = F.concat(F.lit("import "), "m", F.lit(" as a\nb = a.Client()\nc = b\ndef f("), "p", F.lit("):\n    b.run()\n    c.run()\n    d = c.part\n    d()\nc()\na."), "x", F.lit("()\n"))
+    calls = names.resolved_calls(c.select(F.concat(F.col("doc_id").cast("string"), F.lit("/m.py")).alias("path"), text.alias("text")))
+    return calls.select(F.split("path", "/")[0].cast("long").alias("id"), "start_line", "name", "spelling")
