@@ -3,7 +3,7 @@
 A mention is found by one expression, typed, and reduced to a canonical form (digits of
 a number, lower case of an address), so that differently written mentions of one entity
 stay one. Each entity gets a surrogate of the same form: digits for digits, letters of the
-same script for letters, octets of the same width for an address, a check digit that is
+same script for letters (of some forty scripts; others become Latin), octets of the same width for an address, a check digit that is
 valid where the original's is; a name gets letters of its script, with the title and so
 the gender left, and where the title tells a gender its last letter is one that such names
 end with in its script (Latin a or o, Cyrillic а or в, Greek α or ς). The letters come from
@@ -25,6 +25,8 @@ other columns are kept as they are, except one with the name of the count, which
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,10 @@ _TITLES = rf"(?:(?:{_FEMALE}|{_MALE}|{_EITHER})\.? ){{1,6}}"
 _SMALL = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ibn|al) ){0,4}"
 _INITIALS = r"(?:\p{Lu}\. ?){0,6}"
 #: One part of a name: Smith, McDonald, O'Brien, Smith-Jones.
-_PART = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}++)++(?:-(?:\p{Lu}\p{Ll}++)++)*+"
+_PART = r"(?:(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}++)++(?:-(?:\p{Lu}\p{Ll}++)++)*+|[\p{Lo}\p{M}ა-ჺ]{1,20}+)"
 #: Types in order of precedence where two start at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![A-Za-z0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -54,9 +56,24 @@ PATTERNS = {
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = rf"^{_TITLES}"
 #: A mention has one of these (every alternative of UNION implies one); texts without any skip the long expression.
-_HINT = rf"[0-9@]|{_TITLES}{_SMALL}\p{{Lu}}|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
-#: Alphabets of one script each: lower case, by the range that a letter falls in.
+_HINT = rf"[0-9@]|{_TITLES}{_SMALL}[\p{{Lu}}\p{{Lo}}ა-ჺ]|sk-|gh[pousr]_|AKIA|[a-fA-F]{{32}}"
+#: Alphabets of one script each: lower case, by the range that a letter falls in. The first four are the common letters.
 _SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "ß-ÿ": "àáâäèéêëìíîïòóôöùúûüñç", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзиклмнопрстуфхцчшщыэюя"}
+#: Ranges of code points of other letters: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Syriac, Indic scripts one by one, Thai, Lao,
+#: Tibetan, Burmese, Georgian, Hangul letters, Ethiopic, Cherokee, Khmer, Latin, Greek, kana, bopomofo, Han, Yi, Hangul.
+_RANGES = [(0x100, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x561, 0x587), (0x5D0, 0x5EA), (0x620, 0x6D3), (0x710, 0x72F), *((0x900 + 128 * k, 0x97F + 128 * k) for k in range(10)), (0xE01, 0xE2E), (0xE81, 0xEAE),
+           (0xF40, 0xF6C), (0x1000, 0x102A), (0x10D0, 0x10FA), (0x1100, 0x11FF), (0x1200, 0x135A), (0x13A0, 0x13F4), (0x1780, 0x17B3), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3105, 0x312F), (0x3400, 0x9FFF), (0xA000, 0xA48C), (0xAC00, 0xD7A3)]
+
+
+def _alphabet(low: int, high: int) -> str:
+    """Up to 64 letters of a range, evenly: small ones whose capital is one letter, or those without case."""
+    letters = [c for c in map(chr, range(low, high + 1)) if unicodedata.category(c) == "Ll" and len(c.upper()) == 1 and c.upper().lower() == c != c.upper()]
+    letters = letters or [c for c in map(chr, range(low, high + 1)) if unicodedata.category(c) in ("Lo", "Ll")]
+    return "".join(letters[:: max(1, len(letters) // 64)][:64])
+
+
+#: (first, last code point, alphabet), in order of precedence.
+_ALPHABETS = [(ord(k[0]), ord(k[-1]), v) for k, v in _SCRIPTS.items()] + [(a, b, x) for a, b in _RANGES if (x := _alphabet(a, b))]
 _ENDINGS = {"f": {"a-z": "a", "α-ω": "α", "а-я": "а"}, "m": {"a-z": "o", "α-ω": "ς", "а-я": "в"}}
 #: The attempt from which on forms grow.
 WIDER = 3
@@ -75,7 +92,7 @@ def canonical(m: Column, kind: Column) -> Column:
     gender = F.when(m.rlike(rf"^(?:(?:{_EITHER})\.? )*(?:{_FEMALE})\.? "), "f").when(m.rlike(rf"^(?:(?:{_EITHER})\.? )*(?:{_MALE})\.? "), "m").otherwise("n")
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, "[^0-9]", ""))
             .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("email", "secret"), F.lower(m))
-            .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(m, _TITLE, "")))).otherwise(m))
+            .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.translate(F.regexp_replace(m, _TITLE, ""), "\u0130", "i")))).otherwise(m))
 
 
 def _form(kind: Column, entity: Column, attempt: Column) -> Column:
@@ -86,10 +103,9 @@ def _form(kind: Column, entity: Column, attempt: Column) -> Column:
     return F.when(more == 0, entity).otherwise(longer)
 
 
-def _stream(key: str, kind: Column, entity: Column, form: Column, attempt: Column) -> Column:
+def _stream(seed: Column, form: Column) -> Column:
     """Array of digests: sixteen-bit numbers as hex, one for each character of the form."""
-    block = lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"), i.cast("string")), 256)
-    return F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 16).cast("int")), block)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 16).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 256))
 
 
 def _luhn_rest(digits: Column) -> Column:
@@ -102,24 +118,28 @@ def _luhn_rest(digits: Column) -> Column:
 def _with_surrogate(df: DataFrame, key: str) -> DataFrame:
     """df: kind, entity, attempt; adds fake, a stand-in of the form."""
     kind, form, attempt, stream, plain = (F.col(c) for c in ("kind", "_form", "attempt", "_stream", "_plain"))
-    df = df.withColumn("_form", _form(kind, F.col("entity"), attempt)).withColumn("_stream", _stream(key, kind, F.col("entity"), form, attempt))
+    # What depends on the whole entity is worked out once, not for each of its characters; `let` keeps it so.
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, F.col("entity"), attempt.cast("string")), 256)
+    df = df.withColumn("_form", _form(kind, F.col("entity"), attempt)).withColumn("_stream", let(seed, lambda s: _stream(s, form)))
+    small = F.when((kind == "secret") & form.rlike("^[0-9a-f]+$"), "abcdef").otherwise(_SCRIPTS["a-z"])
 
     def number(i):
         return F.conv(F.substring(F.get(stream, F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
-    def letter(c, i):
-        lower, out = F.lower(c), c
-        for span, alphabet in _SCRIPTS.items():
-            new = F.substring(F.lit(alphabet), number(i) % len(alphabet) + 1, F.lit(1))
-            out = F.when(lower.rlike(f"^[{span}]$"), F.when(c == lower, new).otherwise(F.upper(new))).otherwise(out)
+    def letter(c, i, small):
+        lower = F.lower(c)
+        point = F.ascii(lower)
+        pick = lambda letters: F.substring(F.lit(letters), number(i) % len(letters) + 1, F.lit(1))
         # Names stay pronounceable: vowels for vowels, consonants for consonants.
-        sound = F.when(lower.rlike("^[aeiou]$"), F.substring(F.lit("aeiou"), number(i) % 5 + 1, F.lit(1))).otherwise(F.substring(F.lit("bcdfghjklmnprstvw"), number(i) % 17 + 1, F.lit(1)))
-        out = F.when((kind == "name") & lower.rlike("^[a-z]$"), F.when(c == lower, sound).otherwise(F.upper(sound))).otherwise(out)
-        hexed = F.substring(F.lit("abcdef"), number(i) % 6 + 1, F.lit(1))
-        out = F.when((kind == "secret") & form.rlike("^[0-9a-f]+$") & c.rlike("^[a-f]$"), hexed).otherwise(out)
-        return F.when(c.rlike("^[0-9]$"), (number(i) % 10).cast("string")).otherwise(out)
-
-    df = df.withColumn("_plain", F.array_join(F.transform(F.split(form, ""), letter), ""))
+        sound = F.when(lower.isin(*"aeiou"), pick("aeiou")).otherwise(pick("bcdfghjklmnprstvw"))
+        new = F.when(point.between(97, 122), F.when(kind == "name", sound).otherwise(F.substring(small, number(i) % F.length(small) + 1, F.lit(1))))
+        for low, high, letters in _ALPHABETS[1:]:
+            new = new.when(point.between(low, high) & lower.rlike(r"^\p{L}"), pick(letters))
+        # Letters of none of these scripts become Latin ones rather than stay; marks and signs stay.
+        new = new.when(lower.rlike(r"^\p{L}"), pick(_SCRIPTS["a-z"])).otherwise(c)
+        return F.when(F.ascii(c).between(48, 57), (number(i) % 10).cast("string")).when(c == lower, new).otherwise(F.upper(new))
+
+    df = df.withColumn("_plain", let(small, lambda az: F.array_join(F.transform(F.split(form, ""), lambda c, i: letter(c, i, az)), "")))
     wide = attempt >= WIDER
     octet = lambda o, i: F.when(wide, number(i) % 256).when(F.length(o) == 1, number(i) % 10).when(F.length(o) == 2, 10 + number(i) % 90).otherwise(100 + number(i) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(form, r"\."), octet), ".")

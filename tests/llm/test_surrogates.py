@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -83,3 +84,30 @@ def test_empty_table_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "id 078-05-1120", 5, 6, "k", 7, "f"), (1, "id 078-05-1120", 5, 6, "k", 7, "f"), (None, None, None, None, None, None, None)], empty.schema)
     got = surrogates.replace(rows).collect()
     assert sorted(r["n_entities"] for r in got) == [0, 1, 1] and all(r["h"] == 5 and r["fake"] == "f" for r in got if r["n_entities"]) and len({r["text"] for r in got}) == 2
+
+
+@pytest.mark.parametrize("name", ["Արամ", "Łukasz Żółć", "Đặng Nguyễn", "Čapek", "İşık", "ნინო", "דוד", "محمد", "山田", "Ὀδυσσεύς", "Ғабит", "अमित"])
+def test_names_of_many_scripts(spark, name):
+    """No part of the name stays readable, each letter stays in its script and case, and repeats stay one."""
+    import unicodedata
+
+    new = replaced(spark, [f"Mr {name} came. {name} left."])[0]
+    one, two = re.fullmatch(r"Mr (.+) came\. (.+) left\.", new).groups()
+    assert one == two and len(one) == len(name)
+    letters = [(a, b) for a, b in zip(name, one) if unicodedata.category(a)[0] == "L"]
+    assert sum(a == b for a, b in letters) <= len(letters) // 3
+    script = lambda c: unicodedata.name(c).split(" ")[0]
+    assert all(script(a) == script(b) and a.isupper() == b.isupper() for a, b in letters)
+
+
+def test_addresses_of_other_scripts(spark):
+    new = replaced(spark, ["to 山田@example.com and josé@b.org"])[0]
+    assert re.fullmatch(r"to \w\w@\w{7}\.com and \w{4}@\w\.org", new) and not set("山田é") & set(new)
+
+
+def test_time_grows_with_length(spark):
+    """A megabyte of one secret, which is as many letters to draw."""
+    replaced(spark, ["x " + "ab" * 40])
+    began = time.monotonic()
+    new = replaced(spark, ["ab" * 500_000])[0]
+    assert time.monotonic() - began < 60 and len(new) == 1_000_000 and set(new) <= set("abcdef") and new[:40] != "ab" * 20
