@@ -78,15 +78,18 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, n: str, keep: tuple[
     return cold.unionByName(left.join(few, on))
 
 
-#: Rows of a batch between the JVM and Python. Texts are about 2 KB, some far longer; both sides hold whole batches.
-BATCH_ROWS = 1_000
+#: Rows and bytes of a batch between the JVM and Python, of which both sides hold whole ones. Texts are
+#: about 2 KB, some far longer; a batch ends with the row that passes either bound.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose steps in Python get batches of at most BATCH_ROWS rows from now on in this session."""
+    """df, whose steps in Python get batches of at most BATCH_ROWS rows and about BATCH_BYTES from now on in this session."""
+    conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

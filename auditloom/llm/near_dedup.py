@@ -96,31 +96,49 @@ def _pick_texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFram
     return store(met.select("class", "text").groupBy("class").agg(F.first("text").alias("text")), "dedup-texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """class, set (its sorted hashes, eight bytes each), hashed once for all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = []
-            a, b, ta, tb = batch.columns
-            for i in range(batch.num_rows):
-                two = []
-                for key, text in ((a[i].as_py(), ta), (b[i].as_py(), tb)):
-                    if key not in known:
-                        if len(known) >= 128:
-                            known.clear()
-                        known[key] = next(sets_of([text[i].as_py()]))
-                    two.append(known[key])
-                x, y = two
+            sets = [s.tobytes() for s in sets_of(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class", "set"])
+
+    return store(small_batches(texts.select("class", "text")).mapInArrow(run, "class long, set binary"), "dedup-sets")
+
+
+#: Pairs that one copy of a hub's set is held against.
+SHARE = 256
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose full sets are similar enough. A set a with many pairs stands before
+    each SHARE of them; the sets b stream past it, so a task holds one a and a batch of b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, s = batch.columns
+            found = []
+            for i, (hub, other) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+                y = np.frombuffer(s[i].as_buffer(), np.uint64)
+                if other is None:
+                    x = y.copy()  # the next ones are held against it
+                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if Q * common >= P * (len(x) + len(y) - common):
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(out, pa.int64())) for c in (a, b)], names=["a", "b"])
+                    found.append((hub, other))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    t = texts.select
-    met = pairs.join(t(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(t(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
-    return store(small_batches(met.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long"), "dedup-links")
+    pairs = store(pairs.select("a", "b"), "dedup-to-verify")
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARE)).alias("share")
+    dealt = store(join_skewed(pairs, degrees, "a", "n", keep=("n",)).select("a", "b", share), "dedup-shares")
+    s = lambda c: sets.select(F.col("class").alias(c), "set")
+    hubs = dealt.select("a", "share").distinct().join(s("a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "set")
+    rows = hubs.unionByName(dealt.join(s("b"), "b").select("a", "share", "b", "set"))
+    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    return store(small_batches(rows.select("a", "b", "set")).mapInArrow(run, "a long, b long"), "dedup-links")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -146,15 +164,16 @@ def _unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def exact_lists(texts: DataFrame) -> DataFrame:
+def exact_lists(sets: DataFrame) -> DataFrame:
     """h, class, n, pos for the shingles, rarest first, in which two linked classes must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist())):
+            for cls, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(packed.as_buffer(), np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls), pa.int64()), pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s.view(np.int64))], names=["class", "n", "h"])
 
-    each = store(small_batches(texts.select("class", "text")).mapInArrow(run, "class long, n long, h long"), "dedup-shingles")
+    each = store(small_batches(sets.select("class", "set")).mapInArrow(run, "class long, n long, h long"), "dedup-shingles")
     counts = store(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "dedup-shingle-counts")
     shared = join_skewed(each, counts, "h", "df", keep=("df",))
     w = W.partitionBy("class")
@@ -177,7 +196,7 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     hubs = lists.groupBy("h").agg(F.min(F.struct("pos", "class", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = store(hubs.select("h", "size", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("hub.pos").alias("pa")), "dedup-hubs")
     met = join_skewed(_side(lists, "b"), hubs, "h", "size", keep=("a", "na", "pa")).filter((F.col("a") != F.col("b")) & _bounds("a", "b"))
-    return store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-stars")
+    return met.select("a", "b").distinct()
 
 
 def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -188,7 +207,7 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     r = store(join_skewed(r, store(main.filter("parts > 1"), "dedup-mains"), "h", "size", keep=("main",)), "dedup-mixed")
     few = _side(r.filter("root <> main"), "a", F.col("root").alias("ra"), "main")
     met = few.join(_side(r, "b", F.col("root").alias("rb")), "h").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _bounds("a", "b"))
-    return store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-cross")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,11 +237,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = store(short_pairs(reps, sized.filter(F.col("size") <= SHORT)), "dedup-candidates")
     long_ = store(sized.filter(F.col("size") > SHORT).select("class").distinct(), "dedup-long")
     either = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long_)
-    texts = _pick_texts(docs, reps, either)
-    links = verified(pairs, texts)
-    exact = exact_lists(texts.join(long_, "class"))
-    links = store(links.unionByName(verified(hub_pairs(exact), texts)), "dedup-links-so-far")
-    more = verified(cross_pairs(exact, components(links)), texts)
+    sets = full_sets(_pick_texts(docs, reps, either))
+    links = verified(pairs, sets)
+    exact = exact_lists(sets.join(long_, "class"))
+    links = store(links.unionByName(verified(hub_pairs(exact), sets)), "dedup-links-so-far")
+    more = verified(cross_pairs(exact, components(links)), sets)
     roots = components(links.unionByName(more) if not more.isEmpty() else links).select(F.col("node").alias("class"), "root")
     rooted = reps.select("class", "rows", "least", "first").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     return sig, store(rooted, "dedup-roots")
