@@ -14,9 +14,10 @@ a page count once) the texts of each slot are counted. From these counts a wrapp
   what a page's content is read from. A page's title before it (h1) belongs to it.
 
 Names decide where slots can't: of containers on one line with the region, that which the
-page marks as its article is taken; within it, elements whose tag, role, class or id says
-menu, header, footer, sidebar, notice, advert, form or comment are left out, as these
-vary from page to page like the content does. Pages of hosts with fewer than `least`
+page marks as its article is taken; within it, elements whose tag or role says menu, footer,
+sidebar, form or dialog are left out, and those whose whole class or id does (`ad`, `comments`,
+`cookie`), as these vary from page to page like the content does. Other names (`notice`,
+`related-work`, `side-effects`) only count where the element is links or controls. Pages of hosts with fewer than `least`
 distinct pages, or without the region, are read by their marks alone.
 
 Edge cases: null or empty html gives an empty text; a page without url has its own
@@ -44,6 +45,8 @@ _SKIP_TAGS = RAW - {"title"} | {"title", "nav", "footer", "aside", "form", "butt
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 _SKIP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|side|cookies?|consent|gdpr|notices?|alert|banner|popup|modal|overlay|comments?|commentlist|disqus|repl(?:y|ies)|respond|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|share|sharing|social|newsletter|subscribe|subscription|signup|login|related|recommend\w*|widget|pagination|pager|toolbar|skip-link|copyright)(?:$|[\s_-]|\d)", re.I)
+#: Whole names that mean no content wherever they stand. Within an article other names only count where the element's shape agrees.
+_SURE_NAMES = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored promo sidebar cookie cookies consent gdpr popup modal overlay comments commentlist comment-list disqus respond nav navbar navigation menu breadcrumb breadcrumbs pagination pager share sharing social newsletter subscribe signup login toolbar skip-link masthead".split())
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 #: Wrappers up to this many characters of reference trees are sent to the executors; beyond it they are joined.
 BROADCAST_CHARS = 32 << 20
@@ -51,8 +54,35 @@ REFERENCES, LEAST, SHARE, PART = 3, 3, 0.3, 0.6
 _CONTAINERS = frozenset("article main section div center".split())
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """inside: within an element that is marked as article, where a header is a title's."""
+class _Shapes:
+    """Of each element of a page the words, those in links, and whether it has a control; counted once, when first asked for."""
+
+    def __init__(self, page: Node) -> None:
+        self.page = page
+        self.of: dict[int, list[int]] | None = None
+
+    def unlike_content(self, node: Node) -> bool:
+        """Links, or something to fill in or press, rather than text."""
+        if self.of is None:
+            each = list(_elements(self.page))
+            self.of, linked = {}, set()
+            for x in each:
+                if x.tag == "a" or x.up is not None and id(x.up) in linked:
+                    linked.add(id(x))
+                n = 0 if x.tag in RAW else len(_own_text(x).split())
+                self.of[id(x)] = [n, n if id(x) in linked else 0, int(x.tag in ("form", "input", "button", "select", "textarea"))]
+            for x in reversed(each):  # children come after their parents
+                if x is not self.page:
+                    up = self.of[id(x.up)]
+                    for k, v in enumerate(self.of[id(x)]):
+                        up[k] += v
+        words, links, controls = self.of[id(node)]
+        return controls > 0 or 2 * links >= words
+
+
+def _dropped(node: Node, inside: bool, shapes: _Shapes | None = None) -> bool:
+    """inside: within an element that is marked as article, where a header is a title's. shapes: given within
+    what the page is read from, where a name alone does not drop text."""
     if node.tag in _SKIP_TAGS or (node.tag == "header" and not inside):
         return True
     a = node.attrs
@@ -63,7 +93,9 @@ def _dropped(node: Node, inside: bool) -> bool:
     names = f"{a.get('class', '')} {a.get('id', '')}"
     if inside and node.tag == "header":
         return False
-    return bool(_SKIP_NAMES.search(names)) and not _MAIN_NAMES.search(names)
+    if not _SKIP_NAMES.search(names) or _MAIN_NAMES.search(names):
+        return False
+    return shapes is None or not _SURE_NAMES.isdisjoint(names.lower().split()) or shapes.unlike_content(node)
 
 
 def _is_article(x: Node) -> bool:
@@ -215,6 +247,7 @@ def content(page: Node, chosen: Node | None, marks: bool = True) -> list[Node]:
 def main_text(page: Node, constant: set[int], tops: list[Node] | None = None, marks: bool = True) -> str:
     """constant: identities of elements whose own text is template. tops: the elements to read."""
     blocks: list[list[str]] = [[]]
+    shapes = _Shapes(page)
 
     def walk(node: Node, inside: bool) -> None:
         stack: list[tuple[Node | str | None, bool, bool]] = [(node, inside, False)]
@@ -227,7 +260,7 @@ def main_text(page: Node, constant: set[int], tops: list[Node] | None = None, ma
                     blocks[-1].append(x)
             elif x.tag == "br":
                 blocks[-1].append(" ")
-            elif x is node or (not _dropped(x, within) if marks else x.tag not in RAW):
+            elif x is node or (not _dropped(x, within, None if node is page else shapes) if marks else x.tag not in RAW):
                 if x.tag in BLOCKS:
                     blocks.append([])
                     stack.append((None, False, False))

@@ -77,3 +77,18 @@ def test_empty_table_and_pages(spark):
     assert extract(spark, []) == {}
     got = extract(spark, [(1, None, None), (2, None, ""), (3, "x", "plain"), (None, "http://h.org", "<p>t"), (4, "http://h.org", "<p>t"), (4, "http://h.org", "<p>t")])
     assert got == {1: "", 2: "", 3: "plain", None: "t", 4: "t"}
+
+
+def test_names_within_the_article_do_not_drop_text(spark):
+    parts = ['<div class="side-effects"><p>two</p></div>', '<div class="notice">three</div>', '<p id="comment-on-law">four</p>', '<section class="related-work">five <a href=/>six</a> seven</section>', '<p class="header-text">eight</p>']
+    noise = ['<div class="ad">Buy</div>', '<div id="comments"><p>First!</p></div>', '<div class="related-posts"><a href=x>More</a> <a href=y>Yet more</a></div>', '<div class="subscription">Mail <input name=m></div>', '<div class="big cookie">Ok?</div>', "<nav>Up</nav>"]
+    page = "<body><div class=menu>Menu</div><article><h1>one</h1>" + "".join(p + n for p, n in zip(parts + [""], noise)) + "</article><div class=notice>Out</div></body>"
+    assert extract(spark, [(1, "http://h.org/1", page)])[1] == "one two three four five six seven eight"
+    assert extract(spark, [(1, "http://h.org/1", "<body><p>one</p><div class=notice>Out</div></body>")])[1] == "one"
+
+
+def test_many_named_elements_take_linear_time():
+    began = time.perf_counter()
+    source = "<article>" + "<div class=related-x>a " * 20_000 + "</article>"
+    assert html_extraction.main_text(parse(source), set()).count("a") == 20_000
+    assert time.perf_counter() - began < 10
