@@ -22,6 +22,7 @@ from ..operators import facts as ft
 from ..operators import findings as fd
 from ..operators import match
 from ..sources.srctree import scannable
+from ..sources.tables import dealt
 from . import report as rp
 from . import scan as sc
 from .catalogue import _EVENTS, _custom, _synthetic, _table, query
@@ -30,7 +31,8 @@ _C = "c_custkey"
 
 
 def _choices(spark, sf_dir, table: str, key: str, **columns: str) -> DataFrame:
-    return _table(spark, sf_dir, table).select(F.col(key).alias("id"), *[F.expr(v).alias(k) for k, v in columns.items()])
+    """Dealt over all cores: each row becomes a source, which is parsed, or a report."""
+    return dealt(_table(spark, sf_dir, table).select(F.col(key).alias("id"), *[F.expr(v).alias(k) for k, v in columns.items()]), "id")
 
 
 def _chosen(table: str, key: str, **columns: str) -> str:

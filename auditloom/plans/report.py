@@ -10,8 +10,6 @@ import unicodedata
 from string import Template
 from urllib.parse import quote
 
-import pandas as pd
-
 from .. import __version__
 from .scan import Report
 
@@ -101,12 +99,12 @@ def _located(place: dict, snippet: str | None) -> dict:
 
 def sarif_rows(findings: list[dict]) -> tuple[list[dict], list[dict]]:
     """(rules, findings) as rows that the forms take: rules in the order in which findings first name them."""
-    frame = pd.DataFrame({"rule_id": [f["rule_id"] for f in findings]}, dtype=object)
-    index, names = pd.factorize(frame["rule_id"])
-    frame["rule_index"] = index
-    first = frame.drop_duplicates("rule_id").index
-    rules = [{**findings[i], "name": findings[i]["rule_id"].replace("-", "_"), "help": next(u for k, u in _HELP.items() if findings[i]["rule_id"].startswith(k))} for i in first]
-    return rules, [{**f, "rule_index": int(k), "level": LEVELS[f["severity"]]} for f, k in zip(findings, index)]
+    first: dict[str, dict] = {}
+    for f in findings:
+        first.setdefault(f["rule_id"], f)
+    index = {rule: k for k, rule in enumerate(first)}
+    rules = [{**f, "name": rule.replace("-", "_"), "help": next(u for k, u in _HELP.items() if rule.startswith(k))} for rule, f in first.items()]
+    return rules, [{**f, "rule_index": index[f["rule_id"]], "level": LEVELS[f["severity"]]} for f in findings]
 
 
 def to_sarif(report: Report, information_uri: str | None = None) -> str:

@@ -1,4 +1,4 @@
-"""Tables between the steps of a plan, in the folder that driver and executors share."""
+"""Tables between the steps of a plan, in the folder that driver and executors share, and rows dealt over all cores."""
 
 from __future__ import annotations
 
@@ -30,3 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tasks for each core: a core that falls behind holds up few of them.
+TASKS = 4
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all cores by a key that few rows share. A narrow table of any number of rows may be one task's, since files
+    are cut by bytes; steps whose work grows with rows need more tasks than that."""
+    return rows.repartition(max(TASKS * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), key)
