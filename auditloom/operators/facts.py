@@ -6,14 +6,21 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cfg, manifests, pyfacts, taint
 from ..functions.text import MARKER, lines, package_name, strip, suppressed
+from ..sources.tables import sliced
 
 _STEP = "struct<step_type:string,message:string,start_line:int,end_line:int,start_col:int,end_col:int,snippet:string>"
 FACTS = f"path string, ord int, kind string, name string, spelling string, start_line int, end_line int, start_col int, end_col int, snippet string, kwargs map<string,struct<text:string,items:array<string>>>, logs boolean, spec int, steps array<{_STEP}>"
+_TEXT, _INT = pa.string(), pa.int32()
+#: The same for Arrow.
+_FACT_ROWS = pa.schema({"path": _TEXT, "ord": _INT, "kind": _TEXT, "name": _TEXT, "spelling": _TEXT, "start_line": _INT, "end_line": _INT, "start_col": _INT, "end_col": _INT, "snippet": _TEXT,
+                        "kwargs": pa.map_(_TEXT, pa.struct({"text": _TEXT, "items": pa.list_(_TEXT)})), "logs": pa.bool_(), "spec": _INT,
+                        "steps": pa.list_(pa.struct({"step_type": _TEXT, "message": _TEXT, "start_line": _INT, "end_line": _INT, "start_col": _INT, "end_col": _INT, "snippet": _TEXT}))})
 
 
 def kind(path: Column) -> Column:
@@ -38,28 +45,21 @@ def file_facts(path: str, text: str, specs: list[dict]) -> list[tuple]:
     out = []
     for i, f in enumerate(reader.facts):
         at = where(f.node)
-        out.append((path, i, f.kind, f.name, f.spelling, *at, part(at[0], at[1]), {k: _value(v) for k, v in f.values.items()}, reader.logs, None, None))
+        out.append((path, i, f.kind, f.name, f.spelling, *at, part(at[0], at[1]), [(k, _value(v)) for k, v in f.values.items()], reader.logs, None, None))
     if specs:
         spelled = {f.node: f.spelling for f in reader.facts if f.kind == "call"}
         for i, h in enumerate(taint.flows(tree, specs, reader.calls, spelled)):
             at = where(h.call)
             steps = [{"step_type": s.kind, "message": s.message, "start_line": s.line, "end_line": s.end_line, "start_col": s.col, "end_col": s.end_col, "snippet": part(s.line, s.end_line)} for s in h.steps]
-            out.append((path, i, "flow", h.name, "", *at, part(at[0], at[1]), {}, reader.logs, h.spec, steps))
+            out.append((path, i, "flow", h.name, "", *at, part(at[0], at[1]), [], reader.logs, h.spec, steps))
     return out
 
 
 def python_facts(sources: DataFrame, specs: list[dict] | None = None) -> DataFrame:
     """All facts of Python files, each parsed once; flows of the given specs among them."""
     specs = specs or []
-    names = [x.split(" ")[0] for x in ("path", "ord", "kind", "name", "spelling", "start_line", "end_line", "start_col", "end_col", "snippet", "kwargs", "logs", "spec", "steps")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for p, t in zip(frame["path"], frame["text"]) for r in file_facts(p, t, specs)]
-            yield pd.DataFrame(rows, columns=names).astype({"spec": "Int32"})
-
     only = sources.select("path", "text").filter(kind(F.col("path")) == "python")
-    return only.mapInPandas(run, FACTS)
+    return only.mapInArrow(lambda batches: sliced(batches, lambda p, t: file_facts(p, t, specs), _FACT_ROWS), FACTS)
 
 
 def import_inventory(sources: DataFrame) -> DataFrame:
@@ -76,17 +76,16 @@ def control_flow(sources: DataFrame) -> DataFrame:
     """path, function, node, kind, line, human_gate, place (in reverse postorder, null if
     control never gets there), successors of every statement."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for p, t in zip(frame["path"], frame["text"]):
-                for name, g in cfg.graphs(ast.parse(t)):
-                    place = {n: i for i, n in enumerate(g.order())}
-                    rows += [(p, name, n, k, line, gate, place.get(n), sorted(b for a, b in g.edges if a == n)) for n, k, line, gate in g.nodes]
-            yield pd.DataFrame(rows, columns=["path", "function", "node", "kind", "line", "human_gate", "place", "successors"]).astype({"place": "Int32"})
+    def statements(path: str, text: str) -> list[tuple]:
+        rows = []
+        for name, g in cfg.graphs(ast.parse(text)):
+            place = {n: i for i, n in enumerate(g.order())}
+            rows += [(path, name, n, k, line, gate, place.get(n), sorted(b for a, b in g.edges if a == n)) for n, k, line, gate in g.nodes]
+        return rows
 
+    schema = pa.schema({"path": _TEXT, "function": _TEXT, "node": _INT, "kind": _TEXT, "line": _INT, "human_gate": pa.bool_(), "place": _INT, "successors": pa.list_(_INT)})
     only = sources.select("path", "text").filter(kind(F.col("path")) == "python")
-    return only.mapInPandas(run, "path string, function string, node int, kind string, line int, human_gate boolean, place int, successors array<int>")
+    return only.mapInArrow(lambda batches: sliced(batches, statements, schema), "path string, function string, node int, kind string, line int, human_gate boolean, place int, successors array<int>")
 
 
 def line_table(sources: DataFrame) -> DataFrame:

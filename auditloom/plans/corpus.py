@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
 #: (file name, content, [(rule id, first line)])
 TEMPLATES: list[tuple[str, str, list[tuple[str, int]]]] = [
     ("shell_agent.py", "import os\nimport openai\n\n\ndef act(question):\n    answer = openai.chat.completions.create(model='m', messages=[question])\n    command = answer.choices[0].message.content\n    os.system(command)\n", [("EUAIA-ART12-001", 6), ("EUAIA-ART14-002", 8)]),
@@ -36,8 +38,7 @@ TEMPLATES: list[tuple[str, str, list[tuple[str, int]]]] = [
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: every document's template, under a folder of its own. The ids alone are dealt over all
     cores first: a small table may be one task's, and parsing is work for each file."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "doc_id")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
     pick = F.get(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("c")) for n, c, _ in TEMPLATES]), F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int"))
     return docs.select(F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("/"), pick["n"]).alias("path"), pick["c"].alias("text"))
 

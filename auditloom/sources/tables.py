@@ -1,10 +1,12 @@
-"""Tables between the steps of a plan, in the folder that driver and executors share, and rows dealt over all cores."""
+"""Tables between the steps of a plan, in the folder that driver and executors share, rows dealt over all cores, and slices of what Python gives back."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,30 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
     """rows over all cores by a key that few rows share. A narrow table of any number of rows may be one task's, since files
     are cut by bytes; steps whose work grows with rows need more tasks than that."""
     return rows.repartition(max(TASKS * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), key)
+
+
+#: What a step in Python holds of its results at a time: so many rows, or those of so many characters of sources. A slice
+#: ends with the file that passes either bound.
+SLICE_ROWS, SLICE_CHARS = 2_000, 1 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows_of: Callable[[str, str], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows_of(path, text) over batches of files, given back slice by slice: a batch of small files may have far more rows
+    than files, so its results are never held whole."""
+    rows: list[tuple] = []
+    chars = 0
+    for batch in batches:
+        for path, text in zip(batch.column("path"), batch.column("text")):
+            text = text.as_py()
+            rows += rows_of(path.as_py(), text)
+            chars += len(text)
+            if len(rows) >= SLICE_ROWS or chars >= SLICE_CHARS:
+                yield _batch(rows, schema)
+                rows, chars = [], 0
+    if rows:
+        yield _batch(rows, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -1,9 +1,14 @@
 """Steps whose work or memory must not grow with a task's input."""
 
+import tracemalloc
+
 import pandas
+import pyarrow as pa
 import pytest
 
+from auditloom.operators import facts
 from auditloom.plans import generated, report, scan
+from auditloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +28,48 @@ def test_a_report_builds_no_frame(monkeypatch):
     rules, results = report.sarif_rows(rows)
     assert [(r["rule_id"], r["title"], r["name"]) for r in rules] == [("GDPR-2", "t0", "GDPR_2"), ("EUAIA-1", "t1", "EUAIA_1"), ("EUAIA-3", "t3", "EUAIA_3")]
     assert [r["rule_index"] for r in results] == [0, 1, 0, 2] and '"ruleIndex": 2' in report.to_sarif(scan.Report("s", "2026-01-01", "p", {}, rows, {}, [], "m", [], "r", "c", {}, {}))
+
+
+# -- results of Python in slices --------------------------------------------
+
+def step(spark, monkeypatch, build):
+    """What build runs in Python over batches of files."""
+    found, df = [], spark.createDataFrame([], "path string, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: found.append(run) or self)
+    build(df)
+    return found[0]
+
+
+def batch(files):
+    body = "import m as a\n" + "".join(f"x{k} = a.f(k={k})\nx{k}.g()\n" for k in range(10))
+    return pa.RecordBatch.from_pydict({"path": [f"{n}/m.py" for n in range(files)], "text": [body] * files})
+
+
+def peak(run, files):
+    """Rows, the most of one slice, and the most memory of Python and Arrow that its slices held."""
+    given, rows, most, before = batch(files), 0, 0, pa.total_allocated_bytes()
+    arrow = before
+    tracemalloc.start()
+    for out in run(iter([given])):
+        arrow = max(arrow, pa.total_allocated_bytes())
+        rows, most = rows + len(out), max(most, len(out))
+        del out
+    held = tracemalloc.get_traced_memory()[1] + arrow - before
+    tracemalloc.stop()
+    return rows, most, held
+
+
+@pytest.mark.parametrize("build, each", [(facts.python_facts, 21), (facts.control_flow, None)])
+def test_results_of_a_large_batch_are_never_held_whole(spark, monkeypatch, build, each):
+    run = step(spark, monkeypatch, build)
+    (rows, most, small), (more, most_of_more, large) = peak(run, 300), peak(run, 1500)
+    assert more == 5 * rows and (each is None or rows == 300 * each)
+    assert max(most, most_of_more) < tables.SLICE_ROWS + 100 and large < 1.5 * small
+
+
+def test_slices_end_by_size_too_and_keep_every_row():
+    schema = pa.schema({"path": pa.string(), "n": pa.int32()})
+    files = pa.RecordBatch.from_pydict({"path": list("abcd"), "text": ["x" * tables.SLICE_CHARS, "", "y" * (tables.SLICE_CHARS // 2), "z"]})
+    got = list(tables.sliced(iter([files, files]), lambda p, t: [(p, len(t))] if t else [], schema))
+    assert [b.column("path").to_pylist() for b in got] == [["a"], ["c", "d", "a"], ["c", "d"]]
+    assert list(tables.sliced(iter([files]), lambda p, t: [], schema))[0].num_rows == 0 and not list(tables.sliced(iter([]), lambda p, t: [], schema))
