@@ -14,19 +14,19 @@ The pairs of a join are those of one name in one file, which the size of files b
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pyfacts
-from ..sources.tables import stored
+from ..sources.tables import sliced, stored
 from .facts import kind
 
 #: kind `binding` or `call`. at: when the first name is looked up; t: from when a binding holds, within (start, end) of its
 #: scope. head null: text is all there is. copy: an instance if what it is bound to is one; bare: the call is of a plain name.
 EVENTS = "path string, kind string, at int, t int, name string, start int, end int, head string, tail string, text string, instance boolean, copy boolean, bare boolean, spelling string, start_line int, end_line int, start_col int"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def _parts(node: ast.AST) -> tuple[str | None, str]:
@@ -83,14 +83,13 @@ def file_events(path: str, text: str) -> list[dict]:
 
 
 def events(sources: DataFrame) -> DataFrame:
-    columns = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
+    schema = pa.schema([(name, _ARROW[kind_]) for name, kind_ in (c.split() for c in EVENTS.split(","))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [r for p, t in zip(frame["path"], frame["text"]) for r in file_events(p, t)]
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("at", "t", "start", "end", "start_line", "end_line", "start_col")})
+    def rows_of(path: str, text: str) -> list[tuple]:
+        return [tuple(map(row.get, schema.names)) for row in file_events(path, text)]
 
-    return sources.select("path", "text").filter(kind(F.col("path")) == "python").mapInPandas(run, EVENTS)
+    only = sources.select("path", "text").filter(kind(F.col("path")) == "python")
+    return only.mapInArrow(lambda batches: sliced(batches, rows_of, schema), EVENTS)
 
 
 def _joined(first: Column, rest: Column) -> Column:

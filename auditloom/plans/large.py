@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as fd
 from ..operators import match, merkle, names
-from ..sources.tables import fresh_path
+from ..sources.tables import dealt, fresh_path
 from . import incremental, samples
 from . import rules as rl
 from . import scan as sc
@@ -158,7 +158,7 @@ UNION ALL SELECT id, 5, CASE WHEN hidden THEN 'b.run' ELSE m || '.Client.run' EN
 UNION ALL SELECT id, 8, m || '.Client.part', 'd' FROM c UNION ALL SELECT id, 9, 'c', 'c' FROM c UNION ALL SELECT id, 10, m || '.' || x, 'a.' || x FROM c""")
 def resolved_calls(spark, sf_dir):
     """Names of calls by interval joins of uses and bindings: imports, instances, copies, and parameters that hide them."""
-    c = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_MODULE).alias("m"), F.expr(_OWN).alias("x"), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("p").alias("p"))
+    c = dealt(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", F.expr(_MODULE).alias("m"), F.expr(_OWN).alias("x"), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("p").alias("p"))
     text = F.concat(F.lit("import "), "m", F.lit(" as a\nb = a.Client()\nc = b\ndef f("), "p", F.lit("):\n    b.run()\n    c.run()\n    d = c.part\n    d()\nc()\na."), "x", F.lit("()\n"))
     calls = names.resolved_calls(c.select(F.concat(F.col("doc_id").cast("string"), F.lit("/m.py")).alias("path"), text.alias("text")))
     return calls.select(F.split("path", "/")[0].cast("long").alias("id"), "start_line", "name", "spelling")

@@ -6,7 +6,7 @@ import pandas
 import pyarrow as pa
 import pytest
 
-from auditloom.operators import facts
+from auditloom.operators import facts, names
 from auditloom.plans import generated, report, scan
 from auditloom.sources import tables
 
@@ -59,7 +59,7 @@ def peak(run, files):
     return rows, most, held
 
 
-@pytest.mark.parametrize("build, each", [(facts.python_facts, 21), (facts.control_flow, None)])
+@pytest.mark.parametrize("build, each", [(facts.python_facts, 21), (facts.control_flow, None), (names.events, 31)])
 def test_results_of_a_large_batch_are_never_held_whole(spark, monkeypatch, build, each):
     run = step(spark, monkeypatch, build)
     (rows, most, small), (more, most_of_more, large) = peak(run, 300), peak(run, 1500)
