@@ -36,7 +36,7 @@ def _value(v: object) -> dict:
     return {"text": str(v).lower(), "items": [str(x).lower() for x in v] if isinstance(v, list) else None}
 
 
-def file_facts(path: str, text: str, specs: list[dict]) -> list[tuple]:
+def file_facts(path: str, text: str, specs: list[dict], kinds: tuple[str, ...] | None = None) -> list[tuple]:
     tree = ast.parse(text)
     reader = pyfacts.read(tree)
     rows = text.splitlines()
@@ -44,9 +44,10 @@ def file_facts(path: str, text: str, specs: list[dict]) -> list[tuple]:
     where = lambda n: (n.lineno, n.end_lineno or n.lineno, n.col_offset, n.end_col_offset or 0)
     out = []
     for i, f in enumerate(reader.facts):
-        at = where(f.node)
-        out.append((path, i, f.kind, f.name, f.spelling, *at, part(at[0], at[1]), [(k, _value(v)) for k, v in f.values.items()], reader.logs, None, None))
-    if specs:
+        if kinds is None or f.kind in kinds:
+            at = where(f.node)
+            out.append((path, i, f.kind, f.name, f.spelling, *at, part(at[0], at[1]), [(k, _value(v)) for k, v in f.values.items()], reader.logs, None, None))
+    if specs and (kinds is None or "flow" in kinds):
         spelled = {f.node: f.spelling for f in reader.facts if f.kind == "call"}
         for i, h in enumerate(taint.flows(tree, specs, reader.calls, spelled)):
             at = where(h.call)
@@ -55,11 +56,12 @@ def file_facts(path: str, text: str, specs: list[dict]) -> list[tuple]:
     return out
 
 
-def python_facts(sources: DataFrame, specs: list[dict] | None = None) -> DataFrame:
-    """All facts of Python files, each parsed once; flows of the given specs among them."""
+def python_facts(sources: DataFrame, specs: list[dict] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """All facts of Python files, each parsed once; flows of the given specs among them. With kinds, only facts
+    of these leave Python."""
     specs = specs or []
     only = sources.select("path", "text").filter(kind(F.col("path")) == "python")
-    return only.mapInArrow(lambda batches: sliced(batches, lambda p, t: file_facts(p, t, specs), _FACT_ROWS), FACTS)
+    return only.mapInArrow(lambda batches: sliced(batches, lambda p, t: file_facts(p, t, specs, kinds), _FACT_ROWS), FACTS)
 
 
 def import_inventory(sources: DataFrame) -> DataFrame:

@@ -190,14 +190,14 @@ def ast_function_def_findings(spark, sf_dir):
 @query(corpus.expected_sql("EUAIA-ART14-002", "EUAIA-ART50-003"))
 def taint_findings(spark, sf_dir):
     src = corpus.sources(spark, sf_dir)
-    m = match.flow_findings(ft.python_facts(src, match.flow_specs(_RULES)), _RULES)
+    m = match.flow_findings(ft.python_facts(src, match.flow_specs(_RULES), ("flow",)), _RULES)
     return m.select(*_PLACE).distinct()
 
 
 @query("SELECT 'p' || doc_id || '/' || name AS path, n::INTEGER step, kind AS step_type, line::INTEGER start_line FROM documents JOIN (VALUES (0, 'shell_agent.py', 0, 'source', 6), (0, 'shell_agent.py', 1, 'propagation', 7), (0, 'shell_agent.py', 2, 'sink', 8), (2, 'page.py', 0, 'source', 9), (2, 'page.py', 1, 'sink', 10), (9, 'branches.py', 0, 'source', 5), (9, 'branches.py', 1, 'sink', 8)) t(k, name, n, kind, line) ON doc_id % 19 = k")
 def taint_steps(spark, sf_dir):
     src = corpus.sources(spark, sf_dir)
-    m = match.flow_findings(ft.python_facts(src, match.flow_specs(_RULES)), _RULES)
+    m = match.flow_findings(ft.python_facts(src, match.flow_specs(_RULES), ("flow",)), _RULES)
     return m.select("path", F.posexplode("steps").alias("step", "s")).select("path", "step", "s.step_type", "s.start_line")
 
 

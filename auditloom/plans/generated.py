@@ -194,7 +194,7 @@ def generated_flows(spark, sf_dir):
     given = F.when(F.col("other"), F.lit("'ls'")).when(F.col("clean"), F.concat(F.lit("guard.clean("), last, F.lit(")"))).otherwise(last)
     text = F.when(F.col("late"), _source("def f(", v, "):\n    os.system(", v, ")\n    ", v, " = model.generate()\n")).otherwise(_source("def f():\n    ", v, " = model.generate()\n", F.array_join(step, ""), "    os.system(", given, ")\n"))
     rule = _custom({"type": "data_flow", "target": "", "data_flow": {k: [{"target": t}] for k, t in (("sources", "model.generate"), ("sanitizers", "guard.clean"), ("sinks", "os.system"))}})
-    m = match.flow_findings(ft.python_facts(_as_files(c, "m.py", text), match.flow_specs(rule)), rule)
+    m = match.flow_findings(ft.python_facts(_as_files(c, "m.py", text), match.flow_specs(rule), ("flow",)), rule)
     return m.select(_id(), "start_line", F.array_join(F.transform("steps", lambda s: s["step_type"]), ",").alias("kinds"))
 
 

@@ -1,11 +1,13 @@
 """Steps whose work or memory must not grow with a task's input."""
 
+import ast
 import tracemalloc
 
 import pandas
 import pyarrow as pa
 import pytest
 
+from auditloom.functions import pyfacts, taint
 from auditloom.operators import facts, names
 from auditloom.plans import generated, report, scan
 from auditloom.sources import tables
@@ -73,3 +75,33 @@ def test_slices_end_by_size_too_and_keep_every_row():
     got = list(tables.sliced(iter([files, files]), lambda p, t: [(p, len(t))] if t else [], schema))
     assert [b.column("path").to_pylist() for b in got] == [["a"], ["c", "d", "a"], ["c", "d"]]
     assert list(tables.sliced(iter([files]), lambda p, t: [], schema))[0].num_rows == 0 and not list(tables.sliced(iter([]), lambda p, t: [], schema))
+
+
+# -- steps for each node of a source ----------------------------------------
+
+SPEC = {"sources": ["model.generate"], "sanitizers": [], "sinks": ["os.system"]}
+
+
+def test_flows_search_statements_alone_and_make_steps_of_tainted_values_alone(monkeypatch):
+    made, step_of = [], taint._step
+    monkeypatch.setattr(taint, "_step", lambda kind, *more: made.append(kind) or step_of(kind, *more))
+    monkeypatch.setattr(ast, "walk", None)
+    body = "    v = model.generate()\n" + "".join(f"    c{k} = {k} + n\n" for k in range(50)) + "    w = v + ''\n    os.system(w)\n"
+    nested = "try:\n    pass\nexcept E:\n    match x:\n        case 1:\n            async def g(n):\n" + "".join(f"            {line}\n" for line in body.splitlines())
+    tree = ast.parse(f"def f(n):\n{body}" + nested + "if x:\n    class C:\n        def h(self): pass\n")
+    read = pyfacts.read(tree)
+    spelled = {f.node: f.spelling for f in read.facts if f.kind == "call"}
+    hits = taint.flows(tree, [SPEC], read.calls, spelled)
+    assert [(h.name, h.call.lineno, [s.line for s in h.steps]) for h in hits] == [("os.system", 54, [2, 53, 54]), ("os.system", 113, [61, 112, 113])]
+    assert sorted(made) == ["propagation"] * 2 + ["sink"] * 2 + ["source"] * 2
+    assert [f.name for f in taint.functions(tree)] == ["f", "h", "g"]  # as ast.walk finds them, level by level
+
+
+def test_only_facts_of_the_kinds_that_are_asked_for_leave_python(spark):
+    text = "import m\ndef f():\n    v = model.generate()\n    os.system(v)\nx = 1\n"
+    rows = facts.file_facts("a.py", text, [SPEC])
+    assert [r[2] for r in rows] == ["import", "def", "call", "call", "assign", "flow"]
+    for kinds in (("flow",), ("call", "assign"), ("import", "def")):
+        assert facts.file_facts("a.py", text, [SPEC], kinds) == [r for r in rows if r[2] in kinds]
+    sources = spark.createDataFrame([("a.py", text)], "path string, text string")
+    assert [r["kind"] for r in facts.python_facts(sources, [SPEC], ("flow",)).collect()] == ["flow"]
