@@ -80,7 +80,7 @@ SELECT id, 3 AS start_line, 3 AS end_line, param || '.' || fn AS name, param ||
 UNION ALL SELECT id, 4, 5, module || '.' || fn, alias || '.' || fn, arg || '=' || v, alias || '.' || fn || '(' || chr(10) || '  1, ' || arg || '=' || val || ')' FROM v""")
 def generated_calls(spark, sf_dir):
     """Aliases, shadowing parameters, spelled names, constant arguments and snippets."""
-    f = ft.python_facts(_calls_source(_choices(spark, sf_dir, "customer", _C, **_NAMES))).filter("kind = 'call'")
+    f = ft.python_facts(_calls_source(_choices(spark, sf_dir, "customer", _C, **_NAMES)), kinds=("call",))
     args = F.array_join(F.transform(F.map_entries("kwargs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["text"])), ",")
     return f.select(_id(), "start_line", "end_line", "name", "spelling", args.alias("args"), "snippet")
 
@@ -102,7 +102,7 @@ def generated_imports(spark, sf_dir):
     c = _choices(spark, sf_dir, "customer", _C, **_IMPORTS)
     a, b, dots = F.col("a"), F.col("b"), F.col("dots")
     text = _source("import ", a, ".", b, " as w\nfrom ", a, " import ", b, ", z as y\nfrom ", F.when(dots == "", "q").otherwise(dots), " import ", b, "\ndef f():\n    ", F.when(F.col("form") == 0, _source("import ", a)).otherwise("pass"), "\n")
-    return ft.python_facts(_as_files(c, "m.py", text)).filter("kind = 'import'").select(_id(), "start_line", "name")
+    return ft.python_facts(_as_files(c, "m.py", text), kinds=("import",)).select(_id(), "start_line", "name")
 
 
 @query("WITH " + _chosen("customer", _C, **_IMPORTS) + """SELECT id, concat_ws(',', CASE WHEN dots = '' THEN a || ',q' ELSE a END) AS imports FROM c""")
@@ -120,7 +120,7 @@ def generated_assignments(spark, sf_dir):
     c = _choices(spark, sf_dir, "customer", _C, **_NAMES)
     m, fn = F.col("module"), F.col("fn")
     text = _source("x = ", m, ".Client()\ny = x\ny.", fn, "()\nx()\nx = ", F.col("val"), "\nx.", fn, "()\nz: int = 3\n", m, ".", fn, "()\n")
-    f = ft.python_facts(_as_files(c, "m.py", text)).filter("kind IN ('call', 'assign')")
+    f = ft.python_facts(_as_files(c, "m.py", text), kinds=("call", "assign"))
     return f.select(_id(), "start_line", "kind", "name", F.coalesce(F.element_at("kwargs", "value")["text"], F.lit("")).alias("value"))
 
 

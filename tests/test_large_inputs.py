@@ -105,3 +105,28 @@ def test_only_facts_of_the_kinds_that_are_asked_for_leave_python(spark):
         assert facts.file_facts("a.py", text, [SPEC], kinds) == [r for r in rows if r[2] in kinds]
     sources = spark.createDataFrame([("a.py", text)], "path string, text string")
     assert [r["kind"] for r in facts.python_facts(sources, [SPEC], ("flow",)).collect()] == ["flow"]
+
+
+def test_reading_visits_no_contexts_and_looks_up_a_name_once_in_any_depth(monkeypatch):
+    deep = "".join(" " * k + f"def f{k}(p{k}):\n" for k in range(60)) + " " * 60 + "a.get(p3)\n" + "a.b()\n"
+    tree = ast.parse("import m as a\n" + deep)
+    monkeypatch.setattr(ast, "iter_child_nodes", None)
+    seen = [f.name for f in pyfacts.read(tree).facts if f.kind == "call"]
+    assert seen == ["m.get", "m.b"] and type(pyfacts.Scopes().table) is dict
+
+
+def test_what_a_scope_says_ends_with_it():
+    scopes = pyfacts.Scopes()
+    name = ast.parse("x.y", mode="eval").body
+    said = []
+    scopes.bind("x", "one")
+    for text in ("two", "three"):
+        scopes.enter()
+        scopes.bind("x", text)
+        scopes.bind("x", text + "!")
+        scopes.bind("only", text, True)
+        said.append(scopes.spelled(name))
+    for _ in range(2):
+        scopes.leave()
+        said.append((scopes.spelled(name), scopes.is_instance(ast.Name("only"))))
+    assert said == ["two!.y", "three!.y", ("two!.y", True), ("one.y", False)]
